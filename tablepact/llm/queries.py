@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, license_scan, mixing, sql, token_codes, toxicity
+from . import bit_sliced, decontaminate, html_text, license_scan, mixing, sql, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -47,9 +51,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_bit_sliced": op9_bit_sliced,
     "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": sql.OP8,
+    "op9_bit_sliced": sql.OP9,
 }
