@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bit_sliced, decontaminate, html_text, license_scan, mixing, ngram_join, sql, token_codes, toxicity
+from . import bit_sliced, decontaminate, html_text, license_scan, mixing, ngram_join, sql, substring_dedup, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), size=5, percent=75).drop("class_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id")))
@@ -52,6 +56,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_ngram_join": op2_ngram_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": sql.OP2,
+    "op3_substring_dedup": sql.OP3,
     "op8_decontamination": sql.OP8,
     "op9_bit_sliced": sql.OP9,
 }
