@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bit_sliced, decontaminate, html_text, license_scan, mixing, ngram_join, sql, substring_dedup, token_codes, toxicity
+from . import bit_sliced, decontaminate, html_text, importance, license_scan, mixing, ngram_join, sql, substring_dedup, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: 85 % of the documents, by how much likelier they are among those labelled as good than among all."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = docs.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return importance.resample(docs, good, share=0.85).filter("kept").drop("kept")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_importance": op5_importance,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,

@@ -24,6 +24,10 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Words as in ``ALNUM`` (1) and runs of ASCII punctuation (2).
+WORDPUNCT = ALNUM.astype(np.uint8)
+WORDPUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
+
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[0x41:0x5B] += 0x20
@@ -125,19 +129,20 @@ def spans(at: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def runs(column: pa.Array, word: np.ndarray, lower: bool, limit: int = CHUNK) -> Iterator[Run]:
-    """The words of a text column, run by run."""
+    """The words of a text column, run by run: longest strings of bytes of one class other than 0."""
     data, at = buffers(column)
     fold = _LOWER if lower else _SAME
     for lo, hi in spans(at, limit):
         b = fold[data[at[lo] : at[hi]]]
         row_start = at[lo : hi + 1] - at[lo]
         n = len(b)
-        inside = np.zeros(n + 2, bool)
-        inside[1 : n + 1] = word[b]
+        kind = np.zeros(n + 2, np.uint8)
+        kind[1 : n + 1] = word[b]
         cut = np.zeros(n + 1, bool)
         cut[row_start] = True
-        start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
-        end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+        turn = (kind[1:] != kind[:-1]) | cut
+        start = np.flatnonzero((kind[1:] > 0) & turn)
+        end = np.flatnonzero((kind[:-1] > 0) & turn)
         first = np.searchsorted(start, row_start)
         yield Run(lo, hi, b, row_start, start, end, np.repeat(np.arange(hi - lo), np.diff(first)), first)
 
