@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -187,8 +188,10 @@ def stream_filter(spark, d):
 
     batch = table(spark, d, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"stream_filter_{abs(hash(d)) % 10**8}"
-    run = filter_stream(stream, EventSchema).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    name = f"stream_filter_{uuid.uuid4().hex[:12]}"
+    writer = filter_stream(stream, EventSchema).writeStream.format("memory").queryName(name).trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    run = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer).start()
     run.awaitTermination()
     return spark.table(name)
 
