@@ -10,7 +10,9 @@ of them is a sufficient prefix: the rarest. Steps:
 2. Only the places of each window's rarest shingle are joined with the windows.
    The shingle's place in the window gives the place where the window would begin;
    it has to begin and end within the document (position and length bounds).
-3. The document's words at that place are compared with the window's.
+3. All of the window's shingles have to be in the document, each at its own place from there. Shingles that
+   were joined are compared word by word and overlap in all but one word, so these hold the window exactly.
+   No text is shuffled for this, only the places found in step 1.
 
 Tables made of items alone are broadcast if they have at most ``broadcast_rows``
 rows; otherwise the joins shuffle. All steps are DataFrame operations.
@@ -42,11 +44,11 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def _shingles(windows: DataFrame, k: int, shingle: int) -> DataFrame:
-    """(token, offset, key, len): the shingles of ``k`` words of the windows that have as many, or of ``shingle`` or more."""
+    """(token, shingle, offset, key, len): the shingles of ``k`` words of the windows that have as many, or of ``shingle`` or more."""
     w = F.split("key", " ")
     mine = windows.filter(F.least("len", F.lit(shingle)) == k)
     places = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.slice(w, i, k))).alias("offset", "s")
-    return mine.select("key", "len", places).select("key", "len", "offset", F.xxhash64(*[F.col("s")[i] for i in range(k)]).alias("token"))
+    return mine.select("key", "len", places).select("key", "len", "offset", F.xxhash64(*[F.col("s")[i] for i in range(k)]).alias("token"), F.array_join("s", " ").alias("shingle"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = BROADCAST_ROWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -62,39 +64,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int =
     for k in lengths or [shingle]:
         n = F.size("words")
         rows = base.select("doc_id", "text_hash", n.alias("n_words"), F.posexplode_outer(F.arrays_zip(*[F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(k)])).alias("pos", "s"))
-        whole = rows.select("doc_id", "text_hash", "n_words", "pos", F.when(F.col(f"s.w{k - 1}").isNotNull(), F.xxhash64(*[F.col(f"s.w{i}") for i in range(k)])).alias("token"))
-        tokens = few(scratch.table(_shingles(windows, k, shingle).select("token").distinct().withColumn("known", F.lit(True)), "tokens"))
+        said = [F.col(f"s.w{i}") for i in range(k)]
+        whole = rows.select("doc_id", "text_hash", "n_words", "pos", F.when(said[-1].isNotNull(), F.xxhash64(*said)).alias("token"), F.concat_ws(" ", *said).alias("said"))
+        tokens = few(scratch.table(_shingles(windows, k, shingle).select("token", "shingle").distinct(), "tokens"))
         # A document's first row is kept for its number of words.
-        seen = whole.join(tokens, "token", "left").filter("known OR pos IS NULL OR pos = 0")
-        found.append(seen.select("doc_id", "text_hash", "n_words", "pos", F.when(F.col("known"), F.col("token")).alias("token"), F.lit(k).alias("k")))
+        known = F.col("said") == F.col("shingle")
+        seen = whole.join(tokens, "token", "left").filter(known | F.col("pos").isNull() | (F.col("pos") == 0))
+        found.append(seen.select("doc_id", "text_hash", "n_words", "pos", F.when(known, F.col("token")).alias("token"), F.lit(k).alias("k")))
     places = found[0]
     for f in found[1:]:
         places = places.unionByName(f)
     places = scratch.table(places, "places")
     each = places.filter((F.col("k") == (lengths or [shingle])[0]) & (F.coalesce("pos", F.lit(0)) == 0)).select("doc_id", "text_hash", "n_words")
 
-    candidates = []
+    verified = None
     for k in lengths:
-        mine = places.filter((F.col("k") == k) & F.col("token").isNotNull())
+        mine = places.filter((F.col("k") == k) & F.col("token").isNotNull()).select("doc_id", "text_hash", "n_words", "pos", "token").distinct()
         counts = mine.groupBy("token").agg(F.count("*").alias("n"))
-        shingles = _shingles(windows, k, shingle)
-        rarest = shingles.join(counts, "token", "left").groupBy("key", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("p"))
-        prefix = few(scratch.table(rarest.filter("p.n > 0").select(F.col("p.token").alias("token"), F.col("p.offset").alias("offset"), "key", "len"), "prefix"))
+        shingles = few(scratch.table(_shingles(windows, k, shingle).select("key", "len", "offset", "token"), "shingles"))
+        rarest = shingles.join(counts, "token", "left").groupBy("key", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("p"), F.count("*").alias("needed"))
+        prefix = few(scratch.table(rarest.filter("p.n > 0").select(F.col("p.token").alias("token"), F.col("p.offset").alias("offset"), "key", "len", "needed"), "prefix"))
         start = F.col("pos") - F.col("offset")
-        candidates.append(mine.join(prefix, "token").filter((start >= 0) & (start + F.col("len") <= F.col("n_words"))).select("doc_id", "text_hash", start.alias("start"), "len", F.xxhash64("key").alias("key_hash")))
-    if not candidates:
+        candidates = mine.join(prefix, "token").filter((start >= 0) & (start + F.col("len") <= F.col("n_words"))).select("doc_id", "text_hash", start.alias("start"), "len", "key", "needed")
+        asked = candidates.join(shingles.drop("len"), "key").withColumn("pos", F.col("start") + F.col("offset")).drop("offset")
+        there = match(asked, mine.drop("n_words"), ["doc_id", "text_hash", "pos", "token"]).groupBy("doc_id", "text_hash", "start", "len", "key", "needed").agg(F.count("*").alias("have"))
+        held = there.filter("have = needed").select("doc_id", "text_hash", "start", "len", "key")
+        verified = held if verified is None else verified.unionByName(held)
+    if verified is None:
         return each, each.limit(0).select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("len"), F.array(F.lit(None).cast(items.schema["item_id"].dataType)).alias("items"), F.lit(False).alias("unnamed"))
-    together = candidates[0]
-    for c in candidates[1:]:
-        together = together.unionByName(c)
-    asked = scratch.table(together.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "len", "key_hash")).alias("asked")), "candidates")
-
-    again = match(base, asked, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "words", "asked")
-    said = F.explode(F.transform("asked", lambda a: F.struct(a["start"].alias("start"), a["key_hash"].alias("key_hash"), F.array_join(F.slice("words", a["start"] + 1, a["len"]), " ").alias("said")))).alias("a")
-    said = again.select("doc_id", "text_hash", said).select("doc_id", "text_hash", "a.*")
-    exact = few(windows.withColumn("key_hash", F.xxhash64("key")))
-    verified = said.join(exact, "key_hash").filter(F.col("said") == F.col("key")).select("doc_id", "text_hash", "start", "len", "items", "unnamed")
-    return each, scratch.table(verified.distinct(), "hits")
+    named = verified.join(few(windows.drop("len")), "key").select("doc_id", "text_hash", "start", "len", "items", "unnamed")
+    return each, scratch.table(named, "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
