@@ -9,8 +9,8 @@ Each step is an aggregate over the cells (source, size, number of documents), wh
 are as many as there are different sizes, not documents.
 
 Rates are rounded into whole copies. Within a source, cells are taken by size and
-the fractional parts are carried along, so that the words taken differ from the
-target by less than the longest document's size. Which documents of a cell get the extra copy goes by
+the fractional parts are carried along; what is then missing is made up by the smallest documents, so that the words taken
+differ from the target by less than a small document's size. Which documents of a cell get the extra copy goes by
 id, in parts of about the square root of the cell, so that a cell of many copies isn't one task's work.
 
 Everything is DataFrame operations. The only rows not spread out are one for each source.
@@ -120,7 +120,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     carried = F.sum(F.col("m") * (F.col("rate") - F.col("base"))).over(up.rowsBetween(W.unboundedPreceding, W.currentRow))
     rated = rated.withColumn("upto", F.round(carried, 6)).withColumn("upto", F.floor(F.col("upto") + 0.5).cast("long"))
     rated = rated.withColumn("extra", F.greatest(F.least(F.col("upto") - F.coalesce(F.lag("upto").over(up), F.lit(0)), F.col("m")), F.lit(0)))
-    rated = rated.withColumn("parts", F.ceil(F.sqrt("m")).cast("long")).drop("upto")
+    # What the words taken still miss (less than the longest size) is made up by the smallest documents, until less than one of their sizes is left.
+    rated = rated.withColumn("c", F.col("base") * F.col("m") + F.col("extra"))
+    rated = rated.withColumn("miss", F.col("target") - F.sum(F.col("size") * F.col("c")).over(W.partitionBy("source")))
+    rated = rated.withColumn("free", F.when((F.col("size") == 0) | (F.col("rate") == 0), 0).when(F.col("miss") < 0, F.col("c")).otherwise(limit * F.col("m") - F.col("c")))
+    below = F.coalesce(F.sum(F.col("free") * F.col("size")).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turned = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("free"), F.floor(F.try_divide(F.abs("miss") - below, F.col("size"))).cast("long")))).otherwise(0)
+    rated = rated.withColumn("c", F.col("c") + F.when(F.col("miss") > 0, turned).otherwise(-turned))
+    rated = rated.withColumn("base", F.floor(F.col("c") / F.col("m")).cast("long")).withColumn("extra", F.col("c") - F.col("base") * F.col("m")).drop("upto", "c", "miss", "free")
+    rated = rated.withColumn("parts", F.ceil(F.sqrt("m")).cast("long"))
     rated = scratch.table(rated, "rates")
 
     key = docs.select(F.col(source).alias("source"), "size", F.col(doc_id).alias("_id"))
