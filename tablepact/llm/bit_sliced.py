@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

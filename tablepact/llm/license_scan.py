@@ -48,9 +48,9 @@ agpl | agpl | (?:gnu )?agpl(?:v3)? | agpl 3 0 (?:only|or later)
 agpl | affero | (?:gnu )?affero general public licen[cs]e | agpl 3 0
 gfdl | gfdl | (?:gnu )?gfdl | gfdl 1 3
 gfdl | documentation | (?:gnu )?free documentation licen[cs]e | gfdl 1 2
-bsd | bsd | (?:new |modified |simplified |revised |original )?bsd(?: style)? licen[cs]e | bsd 3 clause
+bsd | bsd | (?:new |modified |simplified |revised |original )?bsd(?: style)? licen[cs]e | -
 bsd-2 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)? | bsd 2 clause
-bsd-3 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)? | bsd 3 clause clear
+bsd-3 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)? | bsd 3 clause(?: clear)?
 bsd-4 | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)? | bsd 4 clause
 bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted | -
 0bsd | 0bsd | (?:zero clause bsd|0bsd)(?: licen[cs]e)? | 0bsd
@@ -102,7 +102,7 @@ osl | open | open software licen[cs]e | osl 3 0
 afl | academic | academic free licen[cs]e | afl 3 0
 ecl | educational | educational community licen[cs]e | ecl 2 0
 upl | universal | universal permissive licen[cs]e | upl 1 0
-beerware | beerware | beer ?ware licen[cs]e | beerware
+beerware | beerware | beerware licen[cs]e | beerware
 json | json | json licen[cs]e | json
 vim | vim | vim licen[cs]e | vim
 w3c | w3c | w3c (?:software )?(?:notice and )?licen[cs]e | w3c
@@ -130,7 +130,7 @@ nasa | nasa | nasa open source agreement | nasa 1 3
 hpnd | historical | historical permission notice and disclaimer | hpnd
 icu | icu | icu licen[cs]e | icu
 unicode | unicode | unicode licen[cs]e | unicode 3 0
-openrail | openrail | (?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[cs]e)? | -
+openrail | openrail | (?:bigscience |creativeml )?openrail(?: m)?(?: licen[cs]e)? | -
 public-domain | public | (?:released into|dedicated to|placed in|in) the public domain | -
 proprietary | reserved | all rights reserved | -
 proprietary | confidential | proprietary and confidential | -

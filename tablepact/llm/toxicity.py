@@ -63,7 +63,7 @@ def features_of(run, identity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     long = run.end - run.start
     plain = ~np.isin(h, identity)
     for i, k in enumerate(PREFIXES):
-        at = (long > k) & plain
+        at = (long >= k) & plain
         all_h.append(mix(run.hashes(sums, k)[at] + np.uint64(k)))
         all_row.append(run.row[at])
     return np.concatenate(all_h), np.concatenate(all_row)
