@@ -17,7 +17,12 @@ The boundary is chosen by cost: the subsets that light sets would list against t
 Members of a list aren't paired with each other. Each is compared with the list's first member,
 so a list costs its length. Members that linked are in one component then, and pairs within one add nothing. This is
 repeated among those that did not link. At last every pair of different components that is still in one list and of fitting sizes is compared, so no link that joins
-components is lost. Comparisons are exact, on whole sets.
+components is lost.
+
+Before whole sets are compared, signatures are: how many shingles a set has in each of ``SIGNATURE`` cells. Two sets share no more
+than the sum of the cells' smaller counts, so a pair whose sum is too small can't link. Comparisons of the pairs that are left are
+exact, on whole sets; these are made anew from the texts of the documents concerned, which are picked by a broadcast of their ids
+if they are ``BROADCAST_IDS`` at most, and by a shuffled join otherwise.
 
 Cases. A null, empty or wordless text has no shingles, links with nothing, and is its own component. A text of fewer words than a
 shingle has one. Documents with the same doc_id are documents of their own that share a name; the smallest doc_id of a component
@@ -42,6 +47,8 @@ CELLS_LOG2 = 21
 BLOCK_LOG2 = 15
 #: Times a list's rest is compared with its own first member before its pairs are.
 ROUNDS = 3
+SIGNATURE = 256
+BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
 
@@ -123,7 +130,7 @@ def _classes_and_counts(docs: DataFrame, size: int, scratch: Scratch) -> tuple[D
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """(cid, n, prefix) of every class: the n - t + 2 rarest of its shingles."""
+    """(cid, n, prefix, signature) of every class: the n - t + 2 rarest of its shingles, and counts by cell (null if they don't fit)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +144,14 @@ def _prefixes(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> D
                 place = np.arange(len(h)) - np.repeat(ends - n, n)
                 first = h[order][place < np.repeat(keep, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(first))
+                cells = np.bincount(row * SIGNATURE + (h % _U(SIGNATURE)).astype(np.int64), minlength=SIGNATURE * (hi - lo)).reshape(-1, SIGNATURE)
+                fit = cells.max(axis=1, initial=0) < 256
+                signs = pa.array([c.tobytes() if f else None for c, f in zip(cells.astype(np.uint8), fit)], pa.binary())
                 some = pa.array(n > 1)  # a set of one links with its like only
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n, pa.int64()), lists], ["cid", "n", "prefix"]).filter(some)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n, pa.int64()), lists, signs], ["cid", "n", "prefix", "signature"]).filter(some)
 
-    each = docs.mapInArrow(found, "cid long, n long, prefix array<long>")
-    return each.groupBy("cid", "n").agg(F.first("prefix").alias("prefix"))
+    each = docs.mapInArrow(found, "cid long, n long, prefix array<long>, signature binary")
+    return each.groupBy("cid", "n").agg(F.first(F.struct("prefix", "signature")).alias("s")).select("cid", "n", "s.prefix", "s.signature")
 
 
 # -- lists ------------------------------------------------------------------------------------
@@ -187,45 +197,43 @@ def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return prefixes.select("cid", "n", "prefix").mapInArrow(listed, "key long, cid long, n int")
 
 
-def _with_first(postings: DataFrame) -> DataFrame:
-    """Lists of two members or more, as (key, cid, n, first, first_n), read in order without holding a list."""
+def read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, cid, n) in order of key, as (key, cid, n, first, first_n) for keys with two rows or more; a list may go on in later batches."""
+    names = ["key", "cid", "n", "first", "first_n"]
+    last: tuple[int, int, int, bool] | None = None  # key, first, first_n, and whether the first has been given out
+    for batch in batches:
+        key, cid, n = (batch.column(i).to_numpy() for i in range(3))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        if last is not None and key[0] == last[0]:
+            new[0] = False
+        starts = np.flatnonzero(new)
+        first, first_n, many = np.empty(len(key), np.int64), np.empty(len(key), np.int32), np.ones(len(key), bool)
+        upto = starts[0] if len(starts) else len(key)
+        ahead = []
+        if upto:  # these go on with the last batch's list
+            first[:upto], first_n[:upto] = last[1], last[2]
+            if not last[3]:
+                ahead = [last[0], last[1], last[2], last[1], last[2]]
+                last = (*last[:3], True)
+        if len(starts):
+            sizes = np.diff(np.append(starts, len(key)))
+            first[upto:], first_n[upto:] = np.repeat(cid[starts], sizes), np.repeat(n[starts], sizes)
+            many[upto:] = np.repeat(sizes > 1, sizes)
+            last = (int(key[starts[-1]]), int(cid[starts[-1]]), int(n[starts[-1]]), bool(sizes[-1] > 1))
+        out = [key[many], cid[many], n[many], first[many], first_n[many]]
+        if ahead:
+            out = [np.concatenate([np.array([e], o.dtype), o]) for e, o in zip(ahead, out)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cid", "n", "first", "first_n"]
-        last: tuple[int, int, int, bool] | None = None  # key, first, first_n, whether the first has been given out
-        for batch in batches:
-            key, cid, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            if last is not None and key[0] == last[0]:
-                new[0] = False
-            starts = np.flatnonzero(new)
-            first, first_n = np.empty(len(key), np.int64), np.empty(len(key), np.int32)
-            open_end = starts[0] if len(starts) else len(key)
-            extra = []
-            if open_end:
-                first[:open_end], first_n[:open_end] = last[1], last[2]
-                if not last[3]:
-                    extra.append((last[0], last[1], last[2], last[1], last[2]))
-                    last = (*last[:3], True)
-            if len(starts):
-                sizes = np.diff(np.append(starts, len(key)))
-                first[open_end:], first_n[open_end:] = np.repeat(cid[starts], sizes), np.repeat(n[starts], sizes)
-                many = np.ones(len(key), bool)
-                many[open_end:] = np.repeat(sizes > 1, sizes)
-                last = (int(key[starts[-1]]), int(cid[starts[-1]]), int(n[starts[-1]]), bool(sizes[-1] > 1))
-            else:
-                many = np.ones(len(key), bool)
-            out = [key[many], cid[many], n[many], first[many], first_n[many]]
-            if extra:
-                out = [np.concatenate([np.array([e], o.dtype), o]) for e, o in zip(extra[0], out)]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names)
 
+def _with_first(postings: DataFrame) -> DataFrame:
+    """Lists of two members or more, as (key, cid, n, first, first_n), read in order without holding a list."""
     ordered = postings.repartition("key").sortWithinPartitions("key", "cid")
-    return ordered.mapInArrow(read, "key long, cid long, n int, first long, first_n int")
+    return ordered.mapInArrow(read_lists, "key long, cid long, n int, first long, first_n int")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -237,11 +245,31 @@ def _fits(a: str, b: str, percent: int):
 # -- comparison -------------------------------------------------------------------------------
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that may link, by their sizes and signatures."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.array([v.as_py() or bytes(SIGNATURE) for v in batch.column(i)], f"S{SIGNATURE}").view(np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
+            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            known = ~(batch.column(2).is_null().to_numpy(zero_copy_only=False) | batch.column(3).is_null().to_numpy(zero_copy_only=False))
+            yield batch.select([0, 1]).filter(pa.array(~known | (most * (100 + percent) >= n * percent)))
+
+    both = pairs.join(signs.select(F.col("cid").alias("a"), F.col("n").alias("xn"), F.col("signature").alias("x")), "a").join(signs.select(F.col("cid").alias("b"), F.col("n").alias("yn"), F.col("signature").alias("y")), "b")
+    return both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(kept, "a long, b long")
+
+
+def _linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, named: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose sets link, by exact comparison."""
-    both = pairs.join(sets.withColumnsRenamed({"cid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "tokens": "y"}), "b")
+    likely = scratch.table(_possible(pairs, signs, percent), "likely")
+    wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct().join(named, "cid")
+    sets = scratch.table(_whole_sets(docs, scratch.table(wanted, "wanted"), size), "sets")
+    both = likely.join(sets.withColumnsRenamed({"cid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "tokens": "y"}), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    found = scratch.table(both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"), "links")
+    scratch.drop(sets, likely)
+    return found
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -253,7 +281,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_class_ids(h, row, n).view(np.int64)), lists], ["want", "cid", "tokens"])
 
-    texts = match(docs.select("doc_id", "text"), wanted.withColumnRenamed("cid", "want"), ["doc_id"]).select("want", "text")
+    ids = wanted.withColumnRenamed("cid", "want")
+    texts = match(docs.select("doc_id", "text"), F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id"]).select("want", "text")
     return texts.mapInArrow(found, "want long, cid long, tokens array<long>").filter("want = cid").select("cid", "tokens").dropDuplicates(["cid"])
 
 
@@ -267,17 +296,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_i
     cost = prefixes.groupBy(F.floor(8 * F.log2("n")).alias("band")).agg(F.min("n").alias("n"), F.sum(p * (p - 1) / 2).alias("subsets"), F.sum(p - 1).alias("scans")).collect()
     boundary = choose_boundary([(r["n"], r["subsets"], r["scans"]) for r in cost])
     lists = scratch.table(_with_first(_postings(prefixes, boundary, percent)), "lists")
+    signs = scratch.table(prefixes.select("cid", "n", "signature").join(lists.select("cid").distinct(), "cid"), "signatures")
     scratch.drop(prefixes)
 
     named = classes.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.table(_whole_sets(docs, lists.select("cid").distinct().join(named, "cid"), size), "sets")
+    linked = lambda pairs: _linked(pairs, signs, docs, named, size, percent, scratch)
 
     rest = lists
     links = done = None
     for turn in range(ROUNDS):
         pairs = rest.filter((F.col("cid") != F.col("first")) & _fits("n", "first_n", percent)).select(F.least("cid", "first").alias("a"), F.greatest("cid", "first").alias("b")).distinct()
         pairs = scratch.table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = scratch.table(_linked(pairs, sets, percent), "links")
+        found = linked(pairs)
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         groups = components(links, scratch)
@@ -296,8 +326,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_i
     y = left.select("key", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"))
     crossing = x.join(y, "key").filter((F.col("xg") != F.col("yg")) & _fits("xn", "yn", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = scratch.table(crossing.join(done, ["a", "b"], "left_anti"), "pairs")
-    found = scratch.table(_linked(pairs, sets, percent), "links")
-    groups = components(links.unionByName(found), scratch)
+    if not pairs.isEmpty():
+        groups = components(links.unionByName(linked(pairs)), scratch)
 
     grouped = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     grouped = scratch.table(grouped, "grouped")

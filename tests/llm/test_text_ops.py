@@ -220,3 +220,14 @@ def test_pages(spark):
     got = sorted(map(tuple, html_text.extract(pages).collect()))
     assert got == sorted([(i, f"u{i}", w, len(w)) for i, (_, w) in enumerate(PAGES)] + [(0, "u0", "", 0)])
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 9), max_size=40).map(sorted), st.lists(st.integers(0, 40), max_size=6))
+def test_lists_are_read_across_batches(keys, cuts):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(len(keys)), pa.int64()), pa.array([1] * len(keys), pa.int32())], ["key", "cid", "n"])
+    cuts = [0, *sorted(min(c, len(keys)) for c in cuts), len(keys)]
+    got = [r for b in ngram_join.read_lists(rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == [(k, i, 1, keys.index(k), 1) for i, k in enumerate(keys) if keys.count(k) > 1]
