@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _U = np.uint64
 
 #: Words of characters other than ASCII white space.
