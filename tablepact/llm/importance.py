@@ -6,7 +6,7 @@ logarithm of the ratio of its probabilities under both, and a text is sampled wi
 probability proportional to the ratio: a Gumbel number is added to each log weight, and those with the highest sums are
 taken (Gumbel top-k). The number comes from a hash of the id and a seed, so that reruns agree.
 
-Counts cover every whole text. Each task sends one table of ``buckets`` counts, so what is gathered doesn't
+The target model is fitted on at most ``TARGET_ROWS`` labelled texts (a documented bound). All else covers every whole text. Each task sends one table of ``buckets`` counts, so what is gathered doesn't
 depend on texts. The k-th highest sum is found exactly, by counts of rows for 16 bits of the sum at a time; no
 rows are gathered for it. Of equal sums, smaller ids are taken.
 
@@ -27,6 +27,13 @@ from .store import Scratch
 from .textkit import WORDPUNCT, runs, sequence_hashes, window_starts
 
 BUCKETS = 10_000
+TARGET_ROWS = 50_000
+
+
+def target_ids(labels: DataFrame, most: int = TARGET_ROWS, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Ids of documents labelled 1, at most ``most``: those of the lowest hashes. The bound keeps them small enough to broadcast."""
+    good = labels.filter((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+    return good.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(most)
 
 
 def _buckets(run, buckets: int) -> tuple[np.ndarray, np.ndarray]:
