@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ MAGIC = b"DAC1"
 WIDTH = 8
 RANK_BITS = 512
 SHARD_TOKENS = 1 << 19
-CACHE = 450_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 700_000
 
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -128,6 +129,7 @@ class ByteBpe:
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    _stops = frozenset(".,;:!?")
     _odd = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n]|[\x1c-\x1f]|\A\Z")
 
     def __init__(self, path: str):
@@ -151,19 +153,30 @@ class ByteBpe:
 
         class Words(dict):
             def __missing__(words, word: str) -> bytes:
-                ids = b"".join([self._piece(p) for p in self.pieces.findall(word if word[:1] == "\n" else " " + word)])
-                if len(words) < CACHE:
+                small = self.small
+                known = len(small)
+                ids = b"".join([small.get(p) or self._piece(p) for p in self._cut(word)])
+                # What is seen for the first time is kept as a piece alone.
+                if len(small) == known and len(words) < CACHE_WORDS:
                     words[word] = ids
                 return ids
 
         self.words = Words()
 
+    def _cut(self, word: str) -> list[str]:
+        """The pieces of a word with its space, or of one after a line end."""
+        if word.isalpha():
+            return [" " + word]
+        if word[-1:] in self._stops and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]]
+        return self.pieces.findall(word if word[:1] == "\n" else " " + word)
+
     def _piece(self, piece: str) -> bytes:
         ids = self.small.get(piece)
         if ids is None:
             coded = self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))
-            ids = np.array([t.id for t in coded], "<u4").tobytes()
-            if len(self.small) < CACHE:
+            ids = array("I", [t.id for t in coded]).tobytes()
+            if len(self.small) < CACHE_PIECES:
                 self.small[piece] = ids
         return ids
 
