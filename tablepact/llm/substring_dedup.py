@@ -8,10 +8,11 @@ a phrase is removed from all documents but the first that holds it (the smallest
 2. Where anchors recur in different texts, documents give out segments: the words around the anchor, with a hash of each
    run whose anchor it is. The recurring anchors are a bitmap that goes to all machines if it stays
    below ``BITMAP_LOG2`` bits; beyond that, each document is joined with its own recurring anchors.
-3. Runs that start in two documents are confirmed by a count over the segments; these are the phrases.
-4. Phrases and segments are dealt into shards by anchor. Each shard compiles its phrases into an Aho-Corasick automaton
-   over words and streams its segments through it to locate every occurrence. A shard with many segments is cut
-   into parts, each with the whole automaton, so a phrase that a third of all documents share isn't one task's work.
+3. Segments are dealt into shards by anchor, so that all places of a run meet in one. Each shard confirms the runs that start in
+   two documents; these are its phrases.
+4. It compiles them into an Aho-Corasick automaton over words and streams its segments through it to locate every
+   occurrence. A shard with many segments (an anchor that a third of all documents share) is cut into parts instead,
+   each with the phrases of the whole shard, which an aggregate over all its parts has confirmed.
 5. What was located is removed from the whole texts.
 
 Texts that are equal word for word have their phrases located once.
@@ -38,6 +39,7 @@ from .textkit import SPACED, Run, mix, runs, sequence_hashes, window_starts
 GRAM = 5
 BITMAP_LOG2 = 28
 SHARD_SEGMENTS = 20_000
+MOST_SHARDS = 1_000_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -146,29 +148,62 @@ def _segments(docs: DataFrame, window: int, bitmap: np.ndarray | None) -> DataFr
     return docs.mapInArrow(found, fields)
 
 
-def _locate(segments: pa.Table, phrases: pa.Table, window: int) -> list[tuple[int, int, int, int]]:
-    """(tid, id, start, end): every occurrence of the phrases in segments of larger ids, joined where they overlap."""
+def _flat(segments: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All run hashes of the segments, each one's segment, and where a segment's hashes and codes begin."""
+    lists = [segments[c].combine_chunks() for c in ("hashes", "codes")]
+    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+    starts = [np.asarray(x.offsets)[: len(x) + 1].astype(np.int64) for x in lists]
+    hashes = lists[0].values.to_numpy()[starts[0][0] : starts[0][-1]]
+    return hashes, np.repeat(np.arange(len(lists[0])), np.diff(starts[0])), starts[0] - starts[0][0], starts[1] - starts[1][0]
+
+
+def _confirm(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that start in two documents, in order, and the first document of each."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    first, last = np.minimum.reduceat(ids[order], begin), np.maximum.reduceat(ids[order], begin)
+    twice = first < last
+    return h[begin][twice], first[twice]
+
+
+def _locate(segments: pa.Table, phrases: tuple[np.ndarray, np.ndarray] | None, window: int) -> list[tuple[int, int, int, int]]:
+    """(tid, id, start, end): every occurrence of the phrases in segments of larger ids, joined where they overlap.
+
+    ``phrases`` are sorted hashes and first ids; None: those of the segments themselves.
+    """
     import ahocorasick
 
-    first = dict(zip(phrases["hash"].to_pylist(), phrases["first_id"].to_pylist()))
-    rows = list(zip(*(segments[c].to_pylist() for c in ("tid", "id", "pos", "codes", "hashes"))))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    added = set()
-    for _, _, _, codes, hashes in rows:
-        for i, h in enumerate(hashes):
-            if h in first and h not in added:
-                added.add(h)
-                automaton.add_word(tuple(codes[i : i + window]), True)
     out: list[tuple[int, int, int, int]] = []
-    if not added:
+    if not segments.num_rows:
+        return out
+    hashes, segment, first_hash, first_code = _flat(segments)
+    tids, ids, places = (segments[c].to_numpy() for c in ("tid", "id", "pos"))
+    known, first = phrases if phrases is not None else _confirm(hashes, ids[segment])
+    if not len(known):
         return out
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    # Only segments that hold a phrase of an earlier document lose words.
+    held = (known[at] == hashes) & (first[at] < ids[segment])
+    wanted = np.unique(segment[held])
+    codes = segments["codes"].combine_chunks()
+    codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+    base = int(np.asarray(codes.offsets)[0])
+    codes = codes.values.to_numpy()[base:].tolist()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    _, sample = np.unique(at[held], return_index=True)
+    for j in np.flatnonzero(held)[sample].tolist():
+        i = int(first_code[segment[j]] + j - first_hash[segment[j]])
+        automaton.add_word(tuple(codes[i : i + window]), (int(hashes[j]), int(first[at[j]])))
     automaton.make_automaton()
-    for tid, own, pos, codes, hashes in rows:
+    hash_list = hashes.tolist()
+    for s in wanted.tolist():
+        tid, own, pos, h0 = int(tids[s]), int(ids[s]), int(places[s]), int(first_hash[s])
         start = end = -1
-        for last, _ in automaton.iter(tuple(codes)):
+        for last, (h, first_id) in automaton.iter(tuple(codes[first_code[s] : first_code[s + 1]])):
             i = last - window + 1
-            # The words' codes led here; the run's hash says which phrase it is.
-            if first.get(hashes[i], own) < own:
+            # The words' codes led here; the run's hash says whether they are these words.
+            if first_id < own and hash_list[h0 + i] == h:
                 if i > end:
                     if end >= 0:
                         out.append((tid, own, pos + start, pos + end))
@@ -179,10 +214,11 @@ def _locate(segments: pa.Table, phrases: pa.Table, window: int) -> list[tuple[in
     return out
 
 
-def occurrences(docs: DataFrame, surveyed: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+def occurrences(docs: DataFrame, anchors: DataFrame, surveyed: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """(tid, id, spans): in each text of a document, the places of words that an earlier document's phrase covers."""
-    postings = surveyed.filter("tid <> 0").select(F.explode("anchors").alias("key"), F.col("tid").alias("cid"), F.lit(0).alias("n"))
+    postings = anchors.filter("tid <> 0").select(F.explode("anchors").alias("key"), F.col("tid").alias("cid"), F.lit(0).alias("n"))
     lists = scratch.table(_with_first(postings).filter("cid <> first").select("key", "cid", "first"), "recurring")
+    scratch.drop(anchors)
     n = lists.count()
     ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
     if 16 * n < 1 << (BITMAP_LOG2 - 1):
@@ -197,21 +233,33 @@ def occurrences(docs: DataFrame, surveyed: DataFrame, scratch: Scratch, window:
     total = segments.count()
     shards = max(1, -(-total // SHARD_SEGMENTS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    phrases = (
-        segments.select("id", shard.alias("shard"), F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("shard").alias("shard"))
-        .filter("first_id < last_id").select("shard", "hash", "first_id")
-    )
-    parts = segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD_SEGMENTS)).cast("int").alias("parts"))
-    dealt = segments.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("parts", "anchor")
-    given = phrases.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def located(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _locate(left, right, window) if left.num_rows and right.num_rows else []
+    fields = "tid long, id long, start int, end int"
+
+    def spans(rows: list[tuple[int, int, int, int]]) -> pa.Table:
         tid, own, start, end = zip(*rows) if rows else ((), (), (), ())
         return pa.table({"tid": pa.array(tid, pa.int64()), "id": pa.array(own, pa.int64()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
 
-    places = dealt.groupBy("shard", "part").cogroup(given.groupBy("shard", "part")).applyInArrow(located, "tid long, id long, start int, end int")
-    return places.groupBy("tid", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # A shard holds all runs of its anchors, so it confirms its own phrases unless it is so large that it has to be dealt out.
+    parts = scratch.table(segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD_SEGMENTS)).cast("int").alias("parts")).filter("parts > 1"), "parts")
+    few = F.broadcast(parts) if shards <= MOST_SHARDS else parts
+    keyed = segments.withColumn("shard", shard).drop("anchor").join(few, "shard", "left")
+    places = keyed.filter("parts IS NULL").groupBy("shard").applyInArrow(lambda rows: spans(_locate(rows, None, window)), fields)
+    if not parts.isEmpty():
+        large = keyed.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("parts")
+        phrases = (
+            large.select("id", "shard", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("shard").alias("shard"))
+            .filter("first_id < last_id").select("shard", "hash", "first_id")
+        )
+        given = phrases.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def located(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by("hash")
+            return spans(_locate(left, (right["hash"].to_numpy(), right["first_id"].to_numpy()), window))
+
+        places = places.unionByName(large.groupBy("shard", "part").cogroup(given.groupBy("shard", "part")).applyInArrow(located, fields))
+    found = scratch.table(places.groupBy("tid", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop(segments)
+    return found
 
 
 def _removed(docs: DataFrame, fields: str, emit) -> DataFrame:
@@ -259,8 +307,9 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (and with ``texts`` the kept text)."""
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    surveyed = scratch.table(_surveyed(docs, window), "survey")
-    spans = scratch.table(occurrences(docs, surveyed, scratch, window), "spans")
+    anchors = scratch.table(_surveyed(docs, window), "anchors")
+    surveyed = scratch.table(anchors.drop("anchors"), "survey")
+    spans = occurrences(docs, anchors.select("tid", "anchors"), surveyed, scratch, window)
     each = surveyed.filter(F.col("n_words") >= window).select("doc_id", "tid", F.coalesce("doc_id", F.lit(LAST)).alias("id")).distinct()
     first = each.groupBy("tid").agg(F.min("id").alias("first_id"), F.count("*").alias("m"))
     # All of a text goes where an earlier document has the same words; the first of them loses what was located.
