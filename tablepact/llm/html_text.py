@@ -1,14 +1,17 @@
 """Main text of web pages by line-block distribution (operator 10).
 
 Markup is stripped into lines, one for each block element. A line's length is
-its text's, or none where the text is a menu, header, footer, sidebar, notice,
-advert, form, comment or other matter that the page's own markup sets apart, or
-where links make up most of it outside the article. Lengths are summed over a
+its text's, or none where links make up most of it or it begins with a copyright sign,
+outside a marked article. A menu, header, footer, sidebar, notice,
+advert, form, comment or other matter is set apart by the page's own markup. Lengths are summed over a
 sliding window of ``WINDOW`` lines. Where the sums leave zero is a surge and
-where they return to it a dive; of the spans between a surge and a dive, the one
-with the most text is kept, whole. Where a page marks its article (``article``,
-else ``main``), only lines inside it have a length, and what is set apart within it
-isn't a line at all, so that an advert inside an article doesn't end it.
+where they return to it a dive. What is set apart isn't a line at all, so that an
+advert inside an article doesn't end it. Where a page marks its article (``article``,
+else ``main``), all lines inside it are kept. Elsewhere the span between a surge and a dive
+that has the most text tells the content's container: the smallest one around it, or a larger
+one, unless that adds more links than text and less than a quarter of the text. All spans in the container are kept, whole; so are lines of
+links, or of a copyright, that lie in the same container as the text beside them (at an
+end, if they are fewer than ``WINDOW``). Lists of links directly in the page are a menu's.
 
 Cases. A null or empty page, and one with no text, gives an empty text. Tags that
 are never closed, or closed twice, do no harm. An unclosed comment or script runs
@@ -44,6 +47,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("article aside body div dl footer form header html main nav ol section table ul fieldset details blockquote".split())
 APART = frozenset("nav footer aside form button dialog menu head fieldset datalist".split())
+#: Elements whose lines can be the page's content.
+BOXES = frozenset("article center div main section td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion promotions "
@@ -71,10 +76,20 @@ def _apart(tag: str, rest: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """The page's blocks: text, its length in links, the article (from 1) or main (-1) that holds it, whether it is set apart."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, set apart, article
+class Box:
+    """A container and the lines from ``lo`` to ``hi`` (excluded) in it; the page itself has no parent."""
+
+    __slots__ = ("tag", "parent", "lo", "hi")
+
+    def __init__(self, tag: str, parent: Box | None, lo: int) -> None:
+        self.tag, self.parent, self.lo, self.hi = tag, parent, lo, -1
+
+
+def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
+    """The page's blocks: text, its length in links, the article (from 1) or main (-1) that holds it, whether it is set apart, its container."""
+    out: list[tuple[str, int, int, bool, Box]] = []
+    box = root = Box("", None, 0)
+    stack: list[tuple[str, bool, int, Box]] = []  # tag, set apart, article, container
     held: list[str] = []
     linked = at = articles = anchors = 0
     apart, article = False, 0
@@ -84,14 +99,16 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, linked, article, apart))
+                out.append((text, linked, article, apart, box))
             held, linked = [], 0
 
     def cut(depth: int) -> None:
-        nonlocal apart, article, anchors
-        anchors -= sum(t == "a" for t, _, _ in stack[depth:])
+        nonlocal apart, article, anchors, box
+        anchors -= sum(x[0] == "a" for x in stack[depth:])
         del stack[depth:]
-        apart, article = stack[-1][1:] if stack else (False, 0)
+        apart, article, within = stack[-1][1:] if stack else (False, 0, root)
+        while box is not within:
+            box.hi, box = len(out), box.parent
 
     for m in _PART.finditer(page):
         if m.start() > at:
@@ -137,41 +154,80 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             article = articles
         elif tag == "main" and not article:
             article = -1
-        stack.append((tag, apart, article))
+        if tag in BOXES:
+            box = Box(tag, box, len(out))
+        stack.append((tag, apart, article, box))
         anchors += tag == "a"
     if at < len(page):
         rest = page[at:]
         # A tag cut off by the end of the page isn't text.
         held.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest))
     close()
+    cut(0)
+    root.hi = len(out)
     return out
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The text between the surge and the dive that hold the most of it."""
+    """The text of the page's article, or of the container that holds its longest run of text."""
     found = lines(page or "")
     mass: dict[int, int] = {}
-    for text, _, article, apart in found:
+    for text, _, article, apart, _ in found:
         if article and not apart:
             mass[article] = mass.get(article, 0) + len(text)
     marked = max((a for a in mass if a > 0), key=lambda a: (mass[a], -a), default=-1 if -1 in mass else 0)
     if marked:
-        found = [x for x in found if not x[3] and (x[2] == marked or x[2] != 0 and marked < 0)]
-        length = [len(x[0]) for x in found]
-    else:
-        length = [0 if apart or 2 * linked > len(text) or text[0] == "©" else len(text) for text, linked, _, apart in found]
-    sums, total = [], 0
-    for i, n in enumerate(length):
-        total += n - (length[i - window] if i >= window else 0)
-        sums.append(total)
-    best, surge, held = (0, 0, 0), 0, 0
-    for i, s in enumerate([*sums, 0]):
-        if s == 0:  # a dive; what lies since the surge has ended
-            best = max(best, (held, -surge, -i))
-            surge, held = i + 1, 0
+        return " ".join(x[0] for x in found if not x[3] and (x[2] == marked or x[2] != 0 and marked < 0))
+    return " ".join(found[i][0] for i in unmarked(found, window))
+
+
+def unmarked(found: list[tuple[str, int, int, bool, Box]], window: int) -> list[int]:
+    """The lines of the content where nothing marks it."""
+    seen = [i for i, x in enumerate(found) if not x[3]]
+    full = [i for i in seen if 2 * found[i][1] <= len(found[i][0]) and found[i][0][0] != "©"]
+    if not full:
+        return []
+    # Runs of lines from a surge to the dive after it, as places in ``seen``.
+    at = {i: k for k, i in enumerate(seen)}
+    spans: list[list[int]] = []
+    for i in full:
+        if spans and at[i] - spans[-1][1] <= window:
+            spans[-1][1] = at[i]
         else:
-            held += length[i]
-    return " ".join(found[i][0] for i in range(-best[1], -best[2]) if length[i])
+            spans.append([at[i], at[i]])
+    texts, links = [0], [0]
+    for text, linked, _, apart, _ in found:
+        linked = min(linked, len(text))
+        texts.append(texts[-1] + (0 if apart else len(text) - linked))
+        links.append(links[-1] + (0 if apart else linked))
+    first, last = max(spans, key=lambda s: texts[seen[s[1]] + 1] - texts[seen[s[0]]])
+    box = found[seen[first]][4]
+    while box.hi <= seen[last]:
+        box = box.parent
+    # A container around it takes its place unless it adds mostly links, and little text.
+    outer = box.parent
+    while outer:
+        held, more, linked = texts[box.hi] - texts[box.lo], texts[outer.hi] - texts[outer.lo], links[outer.hi] - links[outer.lo] - links[box.hi] + links[box.lo]
+        more -= held
+        if more > linked or 4 * more > held:
+            box = outer
+        elif linked:
+            break
+        outer = outer.parent
+    spans = [s for s in spans if box.lo <= seen[s[0]] and seen[s[1]] < box.hi]
+    # Lines between two spans, or up to a few at the ends, belong to the content if they are in the very container of the lines beside them.
+    own = lambda k: found[seen[k]][4]
+    out: list[int] = []
+    before = max(-1, spans[0][0] - window - 1)
+    lead = [k for k in range(before + 1, spans[0][0]) if own(k) is own(spans[0][0]) and own(k).parent]
+    out += lead if len(lead) < window else []
+    for n, (a, b) in enumerate(spans):
+        out += range(a, b + 1)
+        end = spans[n + 1][0] if n + 1 < len(spans) else min(len(seen), b + window + 1)
+        rest = [k for k in range(b + 1, end) if own(k) is own(b) and own(k).parent]
+        if n + 1 < len(spans) and own(b) is own(end) or n + 1 == len(spans) and len(rest) < window:
+            out += rest
+    return [seen[k] for k in out]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

@@ -208,6 +208,23 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+A, B = "The first half of a story.", "The other half, which is longer than it."
+LINKS = "<ul{}><li><a href=x>one link</a><li><a href=y>two links</a><li><a href=z>three links</a></ul>"
+
+UNMARKED = [
+    (f"<div id=content><p>{A}</p>{LINKS.format(' class=related')}<p>{B}</p></div>", f"{A} {B}"),
+    (f"<div id=content><p>{A}</p>{LINKS.format('')}<p>{B}</p></div>", f"{A} one link two links three links {B}"),
+    (f"{LINKS.format('')}<div><div><p>{A}</p></div>{LINKS.format('')}<div><p>{B}</p></div></div>{LINKS.format('')}<p>Street 1", f"{A} {B}"),
+    (f"<p>{A}</p>{LINKS.format(' class=menu')}<p>{B}</p>", f"{A} {B}"),
+    (f"<div><p>{A}<p>See <a href=x>all of the other stories</a><p>© is a sign<p>{B}<p><a href=y>Source</a></div>", f"{A} See all of the other stories © is a sign {B} Source"),
+]
+
+
+@pytest.mark.parametrize("page, want", UNMARKED, ids=range(len(UNMARKED)))
+def test_unmarked_content_is_kept_whole(page, want):
+    assert html_text.main_text(page) == want
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<article>", "</article>", "<nav>", "</nav>", "<li>", "<a href='x'>", "</a>", "<!--", "-->", "<script>", "</script>", "text ", "&amp;", "&", "<", ">", '"', "<br>", "<p class=\"ad\">"]), max_size=40))
 def test_any_markup_gives_some_text(parts):
