@@ -6,8 +6,11 @@ outside a marked article. A menu, header, footer, sidebar, notice,
 advert, form, comment or other matter is set apart by the page's own markup. Lengths are summed over a
 sliding window of ``WINDOW`` lines. Where the sums leave zero is a surge and
 where they return to it a dive. What is set apart isn't a line at all, so that an
-advert inside an article doesn't end it. Where a page marks its article (``article``,
-else ``main``), all lines inside it are kept. Elsewhere the span between a surge and a dive
+advert inside an article doesn't end it. A class or id sets apart by its whole name ("site-footer"),
+not by a part of it ("has-sidebar"). Where a page marks its articles (``article``; siblings go together)
+or its main part (``main``), all lines inside are kept of the one with more text; the main part counts without
+the articles in it. So are articles that hold less text than the rest of the page, if it isn't less
+than a quarter of that; else only what lies within the page's own content. There, the span between a surge and a dive
 that has the most text tells the content's container: the smallest one around it, or a larger
 one, unless that adds more links than text and less than a quarter of the text. All spans in the container are kept, whole; so are lines of
 links, or of a copyright, that lie in the same container as the text beside them (at an
@@ -57,6 +60,26 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager "
     "search searchbox form copyright disclaimer skip banner".split()
 )
+#: Words that leave the meaning of a name as it is ("site-footer", "sidebar-left"); any other ("has-", "no-", "elementor-") changes it.
+NEUTRAL = frozenset(
+    "site page main primary secondary tertiary top bottom left right inner outer upper lower global mobile desktop sticky fixed floating small large big "
+    "box bar block blocks list item items container wrapper wrap area section slot unit zone group row col column link links button buttons btn icon icons "
+    "count thread title heading body text image card cards panel region google dfp gpt posts articles stories news".split()
+)
+#: Of these, what a name says of an article's own parts isn't set apart ("entry-header").
+OWNERS, PARTS = frozenset("post article entry story".split()), frozenset("header masthead banner widget".split())
+
+
+def _named(value: str) -> bool:
+    """Whether a class or id, as a whole, names what isn't part of an article."""
+    for token in value.split():
+        pieces = {t.lower() for t in _TOKEN.findall(token)}
+        names = pieces & NAMES
+        if pieces & OWNERS:
+            names -= PARTS
+        if names and all(t in names or t in NEUTRAL or t in OWNERS or len(t) == 1 or t.isdigit() for t in pieces):
+            return True
+    return False
 
 
 def _apart(tag: str, rest: str, inside: bool) -> bool:
@@ -71,7 +94,7 @@ def _apart(tag: str, rest: str, inside: bool) -> bool:
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and not NAMES.isdisjoint(t.lower() for t in _TOKEN.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "main") and _named(value):
             return True
     return False
 
@@ -169,24 +192,64 @@ def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The text of the page's article, or of the container that holds its longest run of text."""
+    """The text of the page's articles, its main part or the container of its longest run of text, whichever has the most."""
     found = lines(page or "")
-    mass: dict[int, int] = {}
-    for text, _, article, apart, _ in found:
-        if article and not apart:
-            mass[article] = mass.get(article, 0) + len(text)
-    marked = max((a for a in mass if a > 0), key=lambda a: (mass[a], -a), default=-1 if -1 in mass else 0)
-    if marked:
-        return " ".join(x[0] for x in found if not x[3] and (x[2] == marked or x[2] != 0 and marked < 0))
-    return " ".join(found[i][0] for i in unmarked(found, window))
-
-
-def unmarked(found: list[tuple[str, int, int, bool, Box]], window: int) -> list[int]:
-    """The lines of the content where nothing marks it."""
+    return " ".join(found[i][0] for i in content(found, window))
+
+
+def content(found: list[tuple[str, int, int, bool, Box]], window: int) -> list[int]:
+    """The lines of the page's content."""
     seen = [i for i, x in enumerate(found) if not x[3]]
+    mass = lambda places: sum(max(0, len(found[i][0]) - found[i][1]) for i in places)
+    count = [0]
+    for x in found:
+        count.append(count[-1] + (not x[3]))
+    homes: dict[int, tuple[Box, bool]] = {}
+    groups: dict[Box, list[int]] = {}
+    main = []
+    for i in seen:
+        article = found[i][2]
+        if article > 0:
+            if article not in homes:
+                homes[article] = _home(found[i][4], count)
+            groups.setdefault(homes[article][0], []).append(i)
+        if article < 0 or article > 0 and homes[article][1]:
+            main.append(i)
+    marked = max(groups.values(), key=lambda g: (mass(g), sum(len(found[i][0]) for i in g), -g[0]), default=main)
+    if main and mass(main) - (mass(marked) if homes.get(found[marked[0]][2], (None, False))[1] else 0) > mass(marked):
+        marked = main
+    if not marked:
+        return unmarked(found, seen, window)[1]
+    box, free = unmarked(found, [i for i in seen if not found[i][2]], window)
+    if mass(free) <= mass(marked):
+        return marked
+    # The page outweighs what it marks; where it does so clearly, what is marked stays only within it.
+    lo, hi = (box.lo, box.hi) if box.parent else (free[0], free[-1])
+    more = [i for i in seen if found[i][2] and lo <= i < hi]
+    return sorted({*free, *more, *(marked if 4 * mass(marked) >= mass(free) else ())})
+
+
+def _home(box: Box, count: list[int]) -> tuple[Box, bool]:
+    """The container of an article, given one in it, that its siblings share, and whether that is in the main part."""
+    article, up = box, box
+    while up:
+        if up.tag == "article":
+            article = up
+        up = up.parent
+    home = article.parent
+    while home.tag == "div" and count[home.hi] - count[home.lo] == count[article.hi] - count[article.lo]:
+        home = home.parent
+    up = home
+    while up and up.tag != "main":
+        up = up.parent
+    return home, up is not None
+
+
+def unmarked(found: list[tuple[str, int, int, bool, Box]], seen: list[int], window: int) -> tuple[Box | None, list[int]]:
+    """The container of the longest run of text in some lines, and its lines."""
     full = [i for i in seen if 2 * found[i][1] <= len(found[i][0]) and found[i][0][0] != "©"]
     if not full:
-        return []
+        return None, []
     # Runs of lines from a surge to the dive after it, as places in ``seen``.
     at = {i: k for k, i in enumerate(seen)}
     spans: list[list[int]] = []
@@ -196,10 +259,10 @@ def unmarked(found: list[tuple[str, int, int, bool, Box]], window: int) -> list[
         else:
             spans.append([at[i], at[i]])
     texts, links = [0], [0]
-    for text, linked, _, apart, _ in found:
+    for i, (text, linked, *_) in enumerate(found):
         linked = min(linked, len(text))
-        texts.append(texts[-1] + (0 if apart else len(text) - linked))
-        links.append(links[-1] + (0 if apart else linked))
+        texts.append(texts[-1] + (len(text) - linked if i in at else 0))
+        links.append(links[-1] + (linked if i in at else 0))
     first, last = max(spans, key=lambda s: texts[seen[s[1]] + 1] - texts[seen[s[0]]])
     box = found[seen[first]][4]
     while box.hi <= seen[last]:
@@ -227,7 +290,7 @@ def unmarked(found: list[tuple[str, int, int, bool, Box]], window: int) -> list[
         rest = [k for k in range(b + 1, end) if own(k) is own(b) and own(k).parent]
         if n + 1 < len(spans) and own(b) is own(end) or n + 1 == len(spans) and len(rest) < window:
             out += rest
-    return [seen[k] for k in out]
+    return box, [seen[k] for k in out]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

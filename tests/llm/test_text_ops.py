@@ -225,6 +225,24 @@ def test_unmarked_content_is_kept_whole(page, want):
     assert html_text.main_text(page) == want
 
 
+STORY, CARD = f"<h1>Title</h1><p>{A}</p><p>{B}</p>", "<section><article><p>Teaser.</p></article></section>"
+
+CHOSEN = [
+    (f"<main>{STORY}</main>{CARD}", f"Title {A} {B}"),
+    (f"{CARD}<div id=x>{STORY}</div>", f"Title {A} {B}"),
+    (f"<main><article>{STORY}</article><p>more</p></main>{CARD}", f"Title {A} {B}"),
+    (f"<article><p>{A}</p></article><article><p>{B}</p></article>{CARD}", f"{A} {B}"),
+    (f"<div><div><article><p>{A}</p></article></div><div><article><p>{B}</p></article></div></div>", f"{A} {B}"),
+    (f"<article><p>{A}</p></article><div><p>{B}</p></div>", f"{A} {B}"),
+    *[(f"<div class='{c}'>{STORY}<div class='{x}'>apart</div></div>", f"Title {A} {B}") for c, x in (("post has-sidebar", "sidebar"), ("no-comments", "post-comments"), ("elementor-widget", "ad_slot-1"), ("page-with-header", "site-footer"), ("entry-header", "shareButtons"))],
+]
+
+
+@pytest.mark.parametrize("page, want", CHOSEN, ids=range(len(CHOSEN)))
+def test_content_is_chosen_by_its_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<article>", "</article>", "<nav>", "</nav>", "<li>", "<a href='x'>", "</a>", "<!--", "-->", "<script>", "</script>", "text ", "&amp;", "&", "<", ">", '"', "<br>", "<p class=\"ad\">"]), max_size=40))
 def test_any_markup_gives_some_text(parts):
