@@ -1,8 +1,8 @@
 """License scan by ordered signature rules (operator 6).
 
 A text is turned into its lower-cased words, joined by single spaces. Rules are regular
-expressions over that, each with a label, a priority (1 first) and a gate: a word
-without which it can't match. Only rules whose gate is among a document's words
+expressions over that, each with a label, a priority (1 first) and gates: words
+of which every match has one at least. Only rules with a gate among a document's words
 are tried. Each match is an interval of words. A match inside the
 interval of another rule's match of the same or a better priority is suppressed (of equal
 intervals, the one of the better priority, then of the earlier rule, stays), found in one pass over a
@@ -28,7 +28,7 @@ from .native_words import words
 #: The phrases that count as base, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label | gate | pattern of the name | tag, in words; "-" for none.
+#: label | gates | pattern of the name | tag, in words; "-" for none.
 FAMILIES = """
 mit | mit | mit(?: x11)? licen[cs]e | mit
 mit | expat | expat licen[cs]e | -
@@ -37,14 +37,12 @@ mit-0 | mit | mit no attribution(?: licen[cs]e)? | mit 0
 apache | apache | apache (?:software )?licen[cs]e | apache 2 0
 apache | apache | apache (?:license )?(?:version )?2(?: 0)? | apache 1 1
 asl | asl | asl 2(?: 0)? | -
-gpl | gpl | (?:gnu )?gpl(?:v[0-9])? | gpl 3 0 (?:only|or later)
+gpl | gpl gplv0 gplv1 gplv2 gplv3 gplv4 gplv5 gplv6 gplv7 gplv8 gplv9 | (?:gnu )?gpl(?:v[0-9])? | gpl 3 0 (?:only|or later)
 gpl | gnu | gnu general public licen[cs]e | gpl 2 0 (?:only|or later)
-gpl | gplv2 | gplv2 | -
-gpl | gplv3 | gplv3 | -
-lgpl | lgpl | (?:gnu )?lgpl(?:v[0-9])? | lgpl 3 0 (?:only|or later)
+lgpl | lgpl lgplv0 lgplv1 lgplv2 lgplv3 lgplv4 lgplv5 lgplv6 lgplv7 lgplv8 lgplv9 | (?:gnu )?lgpl(?:v[0-9])? | lgpl 3 0 (?:only|or later)
 lgpl | lesser | (?:gnu )?lesser general public licen[cs]e | lgpl 2 1 (?:only|or later)
 lgpl | library | gnu library general public licen[cs]e | lgpl 2 0 (?:only|or later)
-agpl | agpl | (?:gnu )?agpl(?:v3)? | agpl 3 0 (?:only|or later)
+agpl | agpl agplv3 | (?:gnu )?agpl(?:v3)? | agpl 3 0 (?:only|or later)
 agpl | affero | (?:gnu )?affero general public licen[cs]e | agpl 3 0
 gfdl | gfdl | (?:gnu )?gfdl | gfdl 1 3
 gfdl | documentation | (?:gnu )?free documentation licen[cs]e | gfdl 1 2
@@ -53,7 +51,7 @@ bsd-2 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)? | bsd
 bsd-3 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)? | bsd 3 clause(?: clear)?
 bsd-4 | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)? | bsd 4 clause
 bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted | -
-0bsd | 0bsd | (?:zero clause bsd|0bsd)(?: licen[cs]e)? | 0bsd
+0bsd | 0bsd zero | (?:zero clause bsd|0bsd)(?: licen[cs]e)? | 0bsd
 isc | isc | isc licen[cs]e | isc
 mpl | mpl | mpl(?: v?[12](?: [01])?)? | mpl 2 0
 mpl | mozilla | mozilla public licen[cs]e | mpl 1 1
@@ -110,7 +108,7 @@ x11 | x11 | x11 licen[cs]e | x11
 curl | curl | curl licen[cs]e | curl
 imagemagick | imagemagick | imagemagick licen[cs]e | imagemagick
 ipl | ibm | ibm public licen[cs]e | ipl 1 0
-qpl | qpl | (?:q public licen[cs]e|qpl) | qpl 1 0
+qpl | qpl q | (?:q public licen[cs]e|qpl) | qpl 1 0
 sleepycat | sleepycat | sleepycat licen[cs]e | sleepycat
 zend | zend | zend (?:engine )?licen[cs]e | zend 2 0
 zpl | zope | zope public licen[cs]e | zpl 2 1
@@ -153,27 +151,33 @@ class Rule:
     priority: int
     confidence: float
     base: bool = False
+    also: tuple[str, ...] = ()  # further gates
+
+    @property
+    def gates(self) -> tuple[str, ...]:
+        return (self.gate, *self.also)
 
 
 def default_rules() -> list[Rule]:
     """The rules of ``FAMILIES`` in each of the ``FORMS``, and the base phrases, in order."""
     out = []
     for line in FAMILIES.strip().splitlines():
-        label, gate, name, tag = (x.strip() for x in line.replace("\\\\", "\\").split(" | "))
-        out += [Rule(label, gate, form.format(name=f"(?:{name})"), p, c) for p, c, form in FORMS]
+        label, gates, name, tag = (x.strip() for x in line.replace("\\\\", "\\").split(" | "))
+        gate, *also = gates.split()
+        out += [Rule(label, gate, form.format(name=f"(?:{name})"), p, c, also=tuple(also)) for p, c, form in FORMS]
         if tag != "-":
             out.append(Rule(label, "spdx", TAG[2].format(tag=f"(?:{tag})"), *TAG[:2]))
     return out + [Rule(label, phrase.split()[0], phrase, 4, 0.5, True) for phrase, label in BASE.items()]
 
 
 def _rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(i, r.label, r.gate, f"(?<= )(?:{r.pattern})(?= )", r.priority, r.confidence, r.base) for i, r in enumerate(rules)]
+    rows = [(i, r.label, gate, f"(?<= )(?:{r.pattern})(?= )", r.priority, r.confidence, r.base) for i, r in enumerate(rules) for gate in r.gates]
     return spark.createDataFrame(rows, "rule int, label string, gate string, pattern string, priority int, confidence double, base boolean")
 
 
 def detections(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every match: doc_id, text_hash, rule, label, priority, confidence, base, start, end (words, end excluded), suppressed."""
-    gates = F.array(*[F.lit(g) for g in sorted({r.gate for r in rules})])
+    gates = F.array(*[F.lit(g) for g in sorted({g for r in rules for g in r.gates})])
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("words"))
     gated = base.withColumn("gates", F.array_intersect("words", gates)).filter(F.size("gates") > 0)
     plain = gated.select("doc_id", "text_hash", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain"), F.explode("gates").alias("gate"))
@@ -183,7 +187,7 @@ def detections(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text:
     pieces = tried.select("doc_id", "text_hash", "rule", "label", "priority", "confidence", "base", F.posexplode(marked).alias("piece", "said"))
     spaces = lambda c: F.length(c) - F.length(F.translate(c, " ", ""))
     pieces = pieces.select("*", spaces(F.col("said")).alias("spaces"), spaces(F.substring_index("said", "\u0002", 1)).alias("inner")).drop("said")
-    # Rows that are repeated in the input meet here and count once.
+    # Rows that are repeated in the input, and rules tried for two of their gates, meet here and count once.
     once = pieces.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "rule", "piece"])
     before = F.sum("spaces").over(W.partitionBy("doc_id", "text_hash", "rule").orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
     placed = once.withColumn("start", before - 1).filter("piece > 0").withColumn("end", F.col("start") + F.col("inner") + 1)

@@ -165,3 +165,49 @@ def test_rules_are_gated(spark):
     assert len(rules) > 300 and Counter(r.base for r in rules)[True] == len(license_scan.BASE)
     for r in rules:
         assert r.gate in r.pattern.replace("\\b", " "), r
+
+
+def said(pattern):
+    """Every text that a pattern without unbounded repeats matches, look-arounds aside."""
+    from re import _parser
+
+    def parts(nodes):
+        out = [""]
+        for kind, arg in nodes:
+            kind = str(kind)
+            if kind == "LITERAL":
+                here = [chr(arg)]
+            elif kind == "IN":
+                here = [chr(c) for k, a in arg for c in (range(a[0], a[1] + 1) if str(k) == "RANGE" else [a])]
+            elif kind == "BRANCH":
+                here = [x for branch in arg[1] for x in parts(branch)]
+            elif kind == "SUBPATTERN":
+                here = parts(arg[3])
+            elif kind == "MAX_REPEAT":
+                assert tuple(arg[:2]) == (0, 1)
+                here = ["", *parts(arg[2])]
+            else:
+                assert kind in ("ASSERT_NOT", "AT"), kind
+                continue
+            out = [a + b for a in out for b in here]
+        return out
+
+    return parts(_parser.parse(pattern))
+
+
+def test_every_alternative_has_a_gate():
+    rules = license_scan.default_rules()
+    bare = {r.pattern: r.gates for r in rules if r.priority >= 3}
+    for pattern, gates in bare.items():
+        for text in said(pattern):
+            assert not set(gates).isdisjoint(text.split()), (pattern, text)
+    for r in rules:  # the other forms are put around a bare one, or have a gate of their own
+        assert r.pattern in bare or r.gates == ("spdx",) and r.pattern.startswith("spdx ") or any(p in r.pattern and r.gates == g for p, g in bare.items()), r
+
+
+def test_names_with_other_gates(spark):
+    texts = {"Licensed under the LGPLv3": "lgpl", "AGPLv3": "agpl", "a Zero-Clause BSD license": "0bsd", "Q Public License": "qpl", "GPLv1 only": "gpl", "gpl, GPLv2 and GPLv3": "gpl"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    assert got[0].score == 0.95 and got[5].n_detections == 3
