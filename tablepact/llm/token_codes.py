@@ -125,7 +125,8 @@ class ByteBpe:
 
     Such a tokenizer cuts a text by a pattern and codes each piece by itself. The
     library's model codes every piece that the cache does not hold. Texts
-    with white space other than single spaces and line ends go to the library whole.
+    with white space other than single spaces and line ends, or with an added token such as
+    ``<|endoftext|>``, go to the library whole.
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,7 +140,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
@@ -182,7 +183,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not self.cached or self._odd.search(text):
+        if not self.cached or self._odd.search(text) or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # The text is led by a line end, whose id is then left out; each word but those after a line end has its space.
         found = b"".join(map(self.words.__getitem__, ("\n" + text).replace("\n", " \n").split(" ")[1:]))

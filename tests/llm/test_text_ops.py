@@ -104,6 +104,19 @@ def test_tokens_of_documents(spark, docs):
     assert token_codes.tokenize(docs.limit(0), path).count() == 0
 
 
+def test_added_tokens_in_a_text():
+    """As the library has them by default: a text's <|endoftext|> is one id."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, code = Tokenizer.from_file(path), token_codes.ByteBpe(path)
+    assert code.cached and code.added
+    for text in [x for t in code.added for x in (t, f"end {t} more", f"a{t}b {t}{t}\n{t}.", t[:-1], t.upper())] + ["end < |endoftext|> more", "none of it"]:
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(code.encode("end <|endoftext|> more"), "<u4").tolist() == [437, 220, 50256, 517]
+
+
 # -- n-gram join ------------------------------------------------------------------------------
 
 
