@@ -14,7 +14,8 @@ Queries and index are both cut into groups, and a task gets one group of each, s
 each index group are then ranked for each query.
 
 Cases. Vectors that are null or hold null or non-finite components take no part; vectors of different lengths are
-compared as if padded with zeros. Quantised components are held within +-2**30. Rows that share the id of a query aren't
+compared as if padded with zeros. A quantised component, or the score of a
+result, that a long can't hold is an error. Rows that share the id of a query aren't
 its candidates; such rows are one query, with the smallest of their vectors. Otherwise repeated rows are candidates
 each. Equal scores go by the smaller id. An empty table gives no rows. Other columns are ignored.
 """
@@ -32,7 +33,7 @@ from .store import Scratch
 
 GROUP_ROWS = 1 << 16
 GROUP_QUERIES = (64, 4096)
-LIMIT = 1 << 30
+LIMIT = 2.0**63
 
 
 # -- a group's index --------------------------------------------------------------------------
@@ -156,7 +157,12 @@ class Slices:
 
 
 def quantise(vector: Column, scale: float) -> Column:
-    return F.transform(vector, lambda x: F.greatest(F.least(F.floor(scale * x.cast("double")), F.lit(LIMIT)), F.lit(-LIMIT)))
+    def whole(x: Column) -> Column:
+        y = scale * x.cast("double")
+        error = F.raise_error(F.concat(F.lit("quantised component beyond a long: "), y.cast("string"))).cast("long")
+        return F.when((y < -LIMIT) | (y >= LIMIT), error).otherwise(F.floor(y))
+
+    return F.transform(vector, whole)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, group_rows: int = GROUP_ROWS, group_queries: tuple[int, int] = GROUP_QUERIES, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -194,3 +194,15 @@ def test_pipeline(spark, tmp_path):
     assert {900, 901, 902, 903} <= set(kept["toxicity"]) and set(kept["ngram_jaccard"]) & {900, 901, 902} == {900} and {903, 904, 905} <= set(kept["ngram_jaccard"])
     assert set(kept["ngram_jaccard"]) - set(kept["decontamination"]) == {903}
     assert max(kept["mixing"].count(i) for i in kept["mixing"]) == 2 and sorted(kept["mixing"]) == sorted(kept["token_codes"])
+
+
+def test_large_components(spark):
+    """Scores of components up to a long's range are exact; beyond it they fail."""
+    big = [[5e6, 1.0], [4.5e6, -2.0], [-6e6, 0.25], [2.0**54, 0.0], [-(2.0**55), 3.0], [4.2e6, -7.5e6]]
+    rows = [(0, [0.00390625, 1.0])] + [(i + 1, v) for i, v in enumerate(big)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[0][1], v)), i) for i, v in rows[1:]))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in bit_sliced.search(df, F.col("vec_id") == 0, k=6).collect())
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    with pytest.raises(Exception, match="beyond a long"):
+        bit_sliced.search(spark.createDataFrame([*rows, (9, [2.0**55, 0.0])], df.schema), F.col("vec_id") == 0).collect()
