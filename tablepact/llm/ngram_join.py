@@ -13,6 +13,8 @@ shingles are held in a table of ``CELLS`` cells whose size doesn't depend on the
   large enough to link with a heavy one are as well.
 
 The boundary is chosen by cost: the subsets that light sets would list against the postings that heavy sets would scan, summed by size.
+With these costs, subsets are never fewer than postings, so the boundary is the smallest size present and all sets are heavy: in effect
+this is a prefix-filtered inverted-list join.
 
 Members of a list aren't paired with each other. Each is compared with the list's first member,
 so a list costs its length. Members that linked are in one component then, and pairs within one add nothing. This is
