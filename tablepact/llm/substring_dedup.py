@@ -8,14 +8,14 @@ a phrase is removed from all documents but the first that holds it (the smallest
 2. Where anchors recur in different texts, documents give out segments: the words around the anchor, with a hash of each
    run whose anchor it is. The recurring anchors are a bitmap that goes to all machines if it stays
    below ``BITMAP_LOG2`` bits; beyond that, each document is joined with its own recurring anchors.
-3. Segments are dealt into shards by anchor, so that all places of a run meet in one. Each shard confirms the runs that start in
+3. Segments are dealt into shards by anchor, so that all places of a run meet in one. Each shard confirms, by their counts, the runs that start in
    two documents; these are its phrases.
-4. It compiles them into an Aho-Corasick automaton over words and streams its segments through it to locate every
+4. It compiles its phrases into an Aho-Corasick automaton over words and streams all of its segments through it, which locates every
    occurrence. A shard with many segments (an anchor that a third of all documents share) is cut into parts instead,
    each with the phrases of the whole shard, which an aggregate over all its parts has confirmed.
 5. What was located is removed from the whole texts.
 
-Texts that are equal word for word have their phrases located once.
+The automata's letters are 31-bit codes of words; a place that one reports counts if the hash of its run is the phrase's.
 
 Cases. A null, empty or wordless text has no words and keeps none. A text of fewer words than a window loses none.
 Rows with the same doc_id are judged each by its own text and aren't smaller than one another. A null doc_id counts as larger than any.
@@ -26,15 +26,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .joins import match
-from .ngram_join import _with_first
 from .store import Scratch
-from .textkit import SPACED, Run, mix, runs, sequence_hashes, window_starts
+from .textkit import SPACED, Run, freed, mix, ragged, runs, sequence_hashes, window_starts
 
 GRAM = 5
 BITMAP_LOG2 = 28
@@ -67,20 +67,20 @@ def _anchors(run: Run, words: np.ndarray, window: int) -> tuple[np.ndarray, np.n
 
 
 def _surveyed(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tid, n_words, anchors) of every document."""
+    """(doc_id, text_hash, tid, n_words, anchors) of every document."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(batch.column(1), SPACED, False):
-                words = run.hashes()
+            for run in runs(batch.column(2), SPACED, False):
+                words, k = run.hashes(), run.hi - run.lo
                 _, row, anchor, place = _anchors(run, words, window)
                 new = np.ones(len(place), bool)
                 new[1:] = place[1:] != place[:-1]
-                counts = np.bincount(row[new], minlength=run.hi - run.lo)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(anchor[new].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.lo, run.hi - run.lo), pa.array(_text_ids(run, words)), pa.array(np.diff(run.first).astype(np.int64)), lists], ["doc_id", "tid", "n_words", "anchors"])
+                lists = ragged(anchor[new].view(np.int64), np.bincount(row[new], minlength=k), pa.int64())
+                columns = [batch.column(0).slice(run.lo, k), batch.column(1).slice(run.lo, k), pa.array(_text_ids(run, words)), pa.array(np.diff(run.first).astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "tid", "n_words", "anchors"])
 
-    return docs.mapInArrow(found, "doc_id long, tid long, n_words long, anchors array<long>")
+    return docs.mapInArrow(freed(found), "doc_id long, text_hash long, tid long, n_words long, anchors array<long>")
 
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -141,20 +141,19 @@ def _segments(docs: DataFrame, window: int, bitmap: np.ndarray | None) -> DataFr
                 n = runs_in + window - 1
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 codes = (words[np.repeat(at[first], n) + within] & _U(0x7FFFFFFF)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32)), pa.array(v)) for v, c in ((codes, n), (hashes.view(np.int64), runs_in))]
+                lists = [ragged(codes, n, pa.int32()), ragged(hashes.view(np.int64), runs_in, pa.int64())]
                 r = row[first]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(tid[r]), pa.array(ids[run.lo + r]), pa.array((at[first] - run.first[r]).astype(np.int32)), *lists], names)
 
-    return docs.mapInArrow(found, fields)
+    return docs.mapInArrow(freed(found), fields)
 
 
-def _flat(segments: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All run hashes of the segments, each one's segment, and where a segment's hashes and codes begin."""
-    lists = [segments[c].combine_chunks() for c in ("hashes", "codes")]
-    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
-    starts = [np.asarray(x.offsets)[: len(x) + 1].astype(np.int64) for x in lists]
-    hashes = lists[0].values.to_numpy()[starts[0][0] : starts[0][-1]]
-    return hashes, np.repeat(np.arange(len(lists[0])), np.diff(starts[0])), starts[0] - starts[0][0], starts[1] - starts[1][0]
+def _list(segments: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, one after another, and where each row's begin, with their end."""
+    column = segments[name].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    at = np.asarray(column.offsets)[: len(column) + 1].astype(np.int64)
+    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
 
 
 def _confirm(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,85 +166,103 @@ def _confirm(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[begin][twice], first[twice]
 
 
-def _locate(segments: pa.Table, phrases: tuple[np.ndarray, np.ndarray] | None, window: int) -> list[tuple[int, int, int, int]]:
+def _compile(codes: list[int], places: np.ndarray, window: int):
+    """An automaton of the runs of codes from these places; each reports its number, and those of the same codes are listed under the first of them."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    same: dict[int, list[int]] = {}
+    for k, i in enumerate(places.tolist()):
+        run = tuple(codes[i : i + window])
+        held = automaton.get(run, -1)
+        if held < 0:
+            automaton.add_word(run, k)
+        else:
+            same.setdefault(held, [held]).append(k)
+    automaton.make_automaton()
+    return automaton, same
+
+
+def _locate(segments: pa.Table, phrases: tuple[np.ndarray, np.ndarray] | None, window: int) -> tuple[np.ndarray, ...]:
     """(tid, id, start, end): every occurrence of the phrases in segments of larger ids, joined where they overlap.
 
     ``phrases`` are sorted hashes and first ids; None: those of the segments themselves.
     """
-    import ahocorasick
-
-    out: list[tuple[int, int, int, int]] = []
+    none = (np.zeros(0, np.int64),) * 4
     if not segments.num_rows:
-        return out
-    hashes, segment, first_hash, first_code = _flat(segments)
-    tids, ids, places = (segments[c].to_numpy() for c in ("tid", "id", "pos"))
+        return none
+    hashes, first_hash = _list(segments, "hashes")
+    codes, first_code = _list(segments, "codes")
+    tids, ids, pos = (segments[c].to_numpy() for c in ("tid", "id", "pos"))
+    segment = np.repeat(np.arange(len(ids)), np.diff(first_hash))
     known, first = phrases if phrases is not None else _confirm(hashes, ids[segment])
-    if not len(known):
-        return out
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    # Only segments that hold a phrase of an earlier document lose words.
-    held = (known[at] == hashes) & (first[at] < ids[segment])
-    wanted = np.unique(segment[held])
-    codes = segments["codes"].combine_chunks()
-    codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-    base = int(np.asarray(codes.offsets)[0])
-    codes = codes.values.to_numpy()[base:].tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    _, sample = np.unique(at[held], return_index=True)
-    for j in np.flatnonzero(held)[sample].tolist():
-        i = int(first_code[segment[j]] + j - first_hash[segment[j]])
-        automaton.add_word(tuple(codes[i : i + window]), (int(hashes[j]), int(first[at[j]])))
-    automaton.make_automaton()
-    hash_list = hashes.tolist()
-    for s in wanted.tolist():
-        tid, own, pos, h0 = int(tids[s]), int(ids[s]), int(places[s]), int(first_hash[s])
-        start = end = -1
-        for last, (h, first_id) in automaton.iter(tuple(codes[first_code[s] : first_code[s + 1]])):
-            i = last - window + 1
-            # The words' codes led here; the run's hash says whether they are these words.
-            if first_id < own and hash_list[h0 + i] == h:
-                if i > end:
-                    if end >= 0:
-                        out.append((tid, own, pos + start, pos + end))
-                    start = i
-                end = i + window
-        if end >= 0:
-            out.append((tid, own, pos + start, pos + end))
-    return out
-
-
-def occurrences(docs: DataFrame, anchors: DataFrame, surveyed: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    """(tid, id, spans): in each text of a document, the places of words that an earlier document's phrase covers."""
-    postings = anchors.filter("tid <> 0").select(F.explode("anchors").alias("key"), F.col("tid").alias("cid"), F.lit(0).alias("n"))
-    lists = scratch.table(_with_first(postings).filter("cid <> first").select("key", "cid", "first"), "recurring")
-    scratch.drop(anchors)
-    n = lists.count()
-    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
+    # A place of each phrase, for its words; each segment has one place more in the stream, for a stop.
+    at, place = np.unique(hashes, return_index=True)
+    k = np.minimum(np.searchsorted(known, at), max(len(known) - 1, 0))
+    here = known[k] == at if len(known) else np.zeros(len(at), bool)
+    if not here.any():
+        return none
+    known, first, place = at[here], first[k[here]], place[here]
+    shift = np.arange(len(ids) + 1)
+    stream = np.full(len(codes) + len(ids), 0xFFFFFFFF, np.int64)
+    stream[np.arange(len(codes)) + np.repeat(shift[:-1], np.diff(first_code))] = codes
+    begins = first_code + shift
+    stream = stream.tolist()
+    automaton, same = _compile(stream, begins[segment[place]] + place - first_hash[segment[place]], window)
+    found = np.fromiter(chain.from_iterable(automaton.iter(tuple(stream))), np.int64).reshape(-1, 2)
+    start, phrase = found[:, 0] - (window - 1), found[:, 1]
+    for held, others in same.items():
+        mine = start[phrase == held]
+        start = np.concatenate([start, *[mine] * (len(others) - 1)])
+        phrase = np.concatenate([phrase, *[np.full(len(mine), o) for o in others[1:]]])
+    own = np.searchsorted(begins, start, "right") - 1
+    within = start - begins[own]
+    good = (first[phrase] < ids[own]) & (hashes[first_hash[own] + within] == known[phrase])
+    own, within = own[good], within[good]
+    if not len(own):
+        return none
+    order = np.lexsort((within, own))
+    own, within = own[order], within[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (within[1:] > within[:-1] + window)
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(own)) - 1
+    return tids[own[lo]], ids[own[lo]], pos[own[lo]] + within[lo], pos[own[lo]] + within[hi] + window
+
+
+def occurrences(docs: DataFrame, anchors: DataFrame, texts: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(tid, id, spans): in each text of a document, the places of words that an earlier document's phrase covers.
+
+    Rows are docs (id, text), anchors (tid, anchors) and texts (tid, id).
+    """
+    postings = anchors.filter("tid <> 0").select(F.explode("anchors").alias("key"), "tid")
+    recurring = postings.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low <> high").select("key")
+    recurring = scratch.table(recurring, "recurring")
+    n = recurring.count()
     if 16 * n < 1 << (BITMAP_LOG2 - 1):
-        found = _segments(ids, window, _bitmap(lists.select("key").distinct(), n))
+        found = _segments(docs, window, _bitmap(recurring, n))
     else:
-        own = lists.select("key", "cid").unionByName(lists.select("key", F.col("first").alias("cid"))).groupBy("cid").agg(F.collect_set("key").alias("anchors"))
-        rows = surveyed.select("tid", F.coalesce("doc_id", F.lit(LAST)).alias("id")).groupBy("tid").agg(F.min("id").alias("id")).join(own, F.col("tid") == F.col("cid"))
-        found = _segments(ids.join(rows.select("id", F.col("tid").alias("want"), "anchors"), "id").select("id", "text", "want", "anchors"), window, None)
+        own = postings.join(recurring, "key").groupBy("tid").agg(F.collect_set("key").alias("anchors"))
+        rows = texts.distinct().join(own, "tid").select("id", F.col("tid").alias("want"), "anchors")
+        found = _segments(docs.join(rows, "id").select("id", "text", "want", "anchors"), window, None)
     segments = scratch.table(found, "segments")
-    scratch.drop(lists)
+    scratch.drop(recurring)
 
     total = segments.count()
     shards = max(1, -(-total // SHARD_SEGMENTS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
     fields = "tid long, id long, start int, end int"
 
-    def spans(rows: list[tuple[int, int, int, int]]) -> pa.Table:
-        tid, own, start, end = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({"tid": pa.array(tid, pa.int64()), "id": pa.array(own, pa.int64()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
+    def spans(tid: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+        return pa.table({"tid": pa.array(tid), "id": pa.array(own), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
     # A shard holds all runs of its anchors, so it confirms its own phrases unless it is so large that it has to be dealt out.
     parts = scratch.table(segments.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / (2 * SHARD_SEGMENTS)).cast("int").alias("parts")).filter("parts > 1"), "parts")
     few = F.broadcast(parts) if shards <= MOST_SHARDS else parts
     keyed = segments.withColumn("shard", shard).drop("anchor").join(few, "shard", "left")
-    places = keyed.filter("parts IS NULL").groupBy("shard").applyInArrow(lambda rows: spans(_locate(rows, None, window)), fields)
+    places = keyed.filter("parts IS NULL").groupBy("shard").applyInArrow(lambda rows: spans(*_locate(rows, None, window)), fields)
     if not parts.isEmpty():
-        large = keyed.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("parts")
+        large = keyed.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("tid", "id"), F.col("parts")).cast("int")).drop("parts")
         phrases = (
             large.select("id", "shard", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("shard").alias("shard"))
             .filter("first_id < last_id").select("shard", "hash", "first_id")
@@ -254,7 +271,7 @@ def occurrences(docs: DataFrame, anchors: DataFrame, surveyed: DataFrame, scratc
 
         def located(left: pa.Table, right: pa.Table) -> pa.Table:
             right = right.sort_by("hash")
-            return spans(_locate(left, (right["hash"].to_numpy(), right["first_id"].to_numpy()), window))
+            return spans(*_locate(left, (right["hash"].to_numpy(), right["first_id"].to_numpy()), window))
 
         places = places.unionByName(large.groupBy("shard", "part").cogroup(given.groupBy("shard", "part")).applyInArrow(located, fields))
     found = scratch.table(places.groupBy("tid", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
@@ -263,30 +280,25 @@ def occurrences(docs: DataFrame, anchors: DataFrame, surveyed: DataFrame, scratc
 
 
 def _removed(docs: DataFrame, fields: str, emit) -> DataFrame:
-    """Runs of whole texts with their removed words marked; rows are (doc_id, ..., known, text)."""
+    """Runs of whole texts with their removed words marked; rows are (doc_id, whole, spans, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(batch.num_columns - 2)
-            for run in runs(batch.column(batch.num_columns - 1), SPACED, False):
+            whole, spans = batch.column(1).to_pylist(), batch.column(2)
+            for run in runs(batch.column(3), SPACED, False):
                 gone = np.zeros(len(run.start) + 1, np.int64)
-                tid = None
                 for i in range(run.lo, run.hi):
-                    if known[i].is_valid and len(known[i]):
-                        if tid is None:
-                            tid = _text_ids(run, run.hashes())
-                        a, b = run.first[i - run.lo], run.first[i - run.lo + 1]
-                        for k in known[i].as_py():
-                            if k["tid"] == tid[i - run.lo]:
-                                if k["whole"]:
-                                    gone[a] += 1
-                                    gone[b] -= 1
-                                for s in k["spans"] or ():
-                                    gone[a + s["start"]] += 1
-                                    gone[a + s["end"]] -= 1
+                    a, b = run.first[i - run.lo], run.first[i - run.lo + 1]
+                    if whole[i]:
+                        gone[a] += 1
+                        gone[b] -= 1
+                    elif spans[i].is_valid:
+                        flat = spans[i].values
+                        np.add.at(gone, a + flat.field(0).to_numpy(), 1)
+                        np.add.at(gone, a + flat.field(1).to_numpy(), -1)
                 yield emit(batch, run, np.cumsum(gone)[:-1] > 0)
 
-    return docs.mapInArrow(found, fields)
+    return docs.mapInArrow(freed(found), fields)
 
 
 def _kept(run: Run, gone: np.ndarray) -> Iterator[bytes]:
@@ -306,18 +318,19 @@ def _kept(run: Run, gone: np.ndarray) -> Iterator[bytes]:
 def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (and with ``texts`` the kept text)."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    anchors = scratch.table(_surveyed(docs, window), "anchors")
-    surveyed = scratch.table(anchors.drop("anchors"), "survey")
-    spans = occurrences(docs, anchors.select("tid", "anchors"), surveyed, scratch, window)
-    each = surveyed.filter(F.col("n_words") >= window).select("doc_id", "tid", F.coalesce("doc_id", F.lit(LAST)).alias("id")).distinct()
+    words = F.col(text).cast("string")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("text_hash"), words.alias("text"))
+    surveyed = scratch.table(_surveyed(docs, window), "survey")
+    own = F.coalesce("doc_id", F.lit(LAST)).alias("id")
+    spans = occurrences(docs.select(own, "text"), surveyed.select("tid", "anchors"), surveyed.select("tid", own), scratch, window)
+    each = surveyed.filter(F.col("n_words") >= window).select("doc_id", "text_hash", "tid", own).distinct()
     first = each.groupBy("tid").agg(F.min("id").alias("first_id"), F.count("*").alias("m"))
     # All of a text goes where an earlier document has the same words; the first of them loses what was located.
     whole = F.col("id") > F.col("first_id")
     known = each.join(first.join(spans.withColumnRenamed("id", "first_id"), ["tid", "first_id"], "left").filter("m > 1 OR spans IS NOT NULL"), "tid")
-    known = known.select("doc_id", F.struct("tid", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")).alias("k")).filter("k.whole OR k.spans IS NOT NULL")
-    known = scratch.table(known.groupBy("doc_id").agg(F.collect_list("k").alias("known")), "known")
-    scratch.drop(spans)
+    known = known.select("doc_id", "text_hash", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")).filter("whole OR spans IS NOT NULL")
+    known = scratch.table(known, "known")
+    scratch.drop(spans, surveyed)
 
     def digest(batch: pa.RecordBatch, run: Run, gone: np.ndarray) -> pa.RecordBatch:
         kept = list(_kept(run, gone))
@@ -328,5 +341,5 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         return pa.RecordBatch.from_arrays([*columns, pa.array([k.decode() for k in kept], pa.string())] if texts else columns, [*names, "kept"] if texts else names)
 
-    rows = match(docs, known, ["doc_id"], "left").select("doc_id", "known", "text")
+    rows = match(docs, known, ["doc_id", "text_hash"], "left").select("doc_id", "whole", "spans", "text")
     return _removed(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, digest)
