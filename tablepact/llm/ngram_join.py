@@ -5,28 +5,28 @@ they are fewer), as 64-bit hashes. Documents with the same set are one class, an
 
 A set of n shingles links only with sets that share at least t = ceil(threshold * n) of them. With all sets
 in one order, two sets that link share c shingles among the first n - t + c of each. The order is by rarity: counts of
-shingles are held in a table of ``CELLS`` cells whose size doesn't depend on the corpus.
+shingles are held in a table of 2^``CELLS_LOG2`` cells whose size doesn't depend on the corpus.
 
 * Light sets, smaller than a boundary, list every subset of c = 2 among their first n - t + 2
   shingles; two light sets that link have such a subset in common.
 * Heavy sets scan the inverted lists of their first n - t + 1 shingles, in which light sets that are
   large enough to link with a heavy one are as well.
 
-The boundary is chosen by cost: the subsets that light sets would list against the postings that heavy sets would scan, summed by size.
-With these costs, subsets are never fewer than postings, so the boundary is the smallest size present and all sets are heavy: in effect
-this is a prefix-filtered inverted-list join.
+The boundary is chosen by cost, from all sets of at most ``LIGHT_MOST`` shingles: the subsets that the sets of a size would list,
+against the entries of the lists that they would scan instead. Sets above that are heavy.
 
-Members of a list aren't paired with each other. Each is compared with the list's first member,
-so a list costs its length. Members that linked are in one component then, and pairs within one add nothing. This is
-repeated among those that did not link. At last every pair of different components that is still in one list and of fitting sizes is compared, so no link that joins
-components is lost.
+A list is in the order of its members' own places of the shingle in their prefixes: what comes before it is shared with no other, so a member's place
+bounds how much it can have in common with any (position filter), and the first member is the most central one.
+Members aren't paired with each other. Each is compared with the first, so a list costs its length; members that linked are in one
+component then, and pairs within one add nothing. Then all pairs in a list that lie in different components, fit by
+size and pass the position filter are compared, so no link that joins components is lost. Comparisons are
+exact, on whole sets; these are made anew from the texts of the documents concerned, which are picked by a broadcast of their keys
+if they are ``BROADCAST_KEYS`` at most, and by a shuffled join otherwise.
 
-Before whole sets are compared, signatures are: how many shingles a set has in each of ``SIGNATURE`` cells. Two sets share no more
-than the sum of the cells' smaller counts, so a pair whose sum is too small can't link. Comparisons of the pairs that are left are
-exact, on whole sets; these are made anew from the texts of the documents concerned, which are picked by a broadcast of their ids
-if they are ``BROADCAST_IDS`` at most, and by a shuffled join otherwise.
+A list that may be longer than ``LONG_LIST`` (by the table of counts) is dealt into parts by class, each with a
+first member of its own; a class that many documents of a task share is listed once for them.
 
-Cases. A null, empty or wordless text has no shingles, links with nothing, and is its own component. A text of fewer words than a
+Cases. A null, empty or wordless text has no shingles, links with nothing, and is its own component and class. A text of fewer words than a
 shingle has one. Documents with the same doc_id are documents of their own that share a name; the smallest doc_id of a component
 may be theirs. A null doc_id never names a component that has another. An empty table gives no rows. Other columns are ignored.
 """
@@ -38,19 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .joins import match
 from .store import Scratch
-from .textkit import SPACED, mix, runs, sequence_hashes, window_starts
+from .textkit import SPACED, freed, mix, ragged, runs, sequence_hashes, window_starts
 
-CELLS_LOG2 = 21
+CELLS_LOG2 = 22
 BLOCK_LOG2 = 15
-#: Times a list's rest is compared with its own first member before its pairs are.
-ROUNDS = 3
-SIGNATURE = 256
-BROADCAST_IDS = 1_000_000
+#: Parts in which a block's counts are added up first.
+SUM_PARTS = 16
+LIGHT_MOST = 64
+LONG_LIST = 1 << 20
+BROADCAST_KEYS = 500_000
 _U = np.uint64
 
 
@@ -88,72 +89,74 @@ def _class_ids(h: np.ndarray, row: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.where(counts > 0, mix(one ^ mix(two + counts.astype(np.uint64))) | _U(1), _U(0))
 
 
+def _fresh(cid: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows hold a class that this task hasn't seen before."""
+    out = np.zeros(len(cid), bool)
+    _, first = np.unique(cid, return_index=True)
+    for i in first.tolist():
+        c = int(cid[i])
+        if c not in seen:
+            seen.add(c)
+            out[i] = True
+    return out
+
+
 def _required(n: np.ndarray, percent: int) -> np.ndarray:
     """Shingles that a set of n has to share with any that it links with."""
     return -(-n * percent // 100)
 
 
-def _classes_and_counts(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, cid, n) of every row, and the table of shingle counts, as classes of about 9 % each."""
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - CELLS_LOG2)).astype(np.int64)
+
+
+def _survey(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text_hash, cid, n, tokens of a small set) of every row, and the table of shingle counts, as classes of about 9 % each."""
     import zstandard
 
+    names = ["doc_id", "text_hash", "cid", "n", "tokens", "block", "counts"]
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELLS_LOG2, np.int64)
-        names = ["doc_id", "cid", "n", "block", "counts"]
+        cells = np.zeros(1 << CELLS_LOG2, np.uint32)
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, h, row, n in _sets(batch.column(1), size):
-                cells += np.bincount((h >> _U(64 - CELLS_LOG2)).astype(np.int64), minlength=1 << CELLS_LOG2) if len(h) > 1 << 16 else 0
-                if len(h) <= 1 << 16:
-                    np.add.at(cells, (h >> _U(64 - CELLS_LOG2)).astype(np.int64), 1)
-                cid = _class_ids(h, row, n).view(np.int64)
-                k = hi - lo
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), pa.array(cid), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            for lo, hi, h, row, n in _sets(batch.column(2), size):
+                cid, k = _class_ids(h, row, n).view(np.int64), hi - lo
+                fresh = _fresh(cid, seen)
+                np.add.at(cells, _cells(h[fresh[row]]), np.uint32(1))
+                small = fresh & (n > 1) & (n <= LIGHT_MOST)
+                tokens = ragged(h[small[row]].view(np.int64), np.where(small, n, 0), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), batch.column(1).slice(lo, k), pa.array(cid), pa.array(n, pa.int64()), tokens, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         used = [b for b in range(1 << (CELLS_LOG2 - BLOCK_LOG2)) if cells[b << BLOCK_LOG2 : (b + 1) << BLOCK_LOG2].any()]
-        packed = [zstandard.compress(cells[b << BLOCK_LOG2 : (b + 1) << BLOCK_LOG2].tobytes(), 1) for b in used]
+        packed = [zstandard.compress(cells[b << BLOCK_LOG2 : (b + 1) << BLOCK_LOG2].astype(np.int64).tobytes(), 1) for b in used]
         k = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    rows = scratch.table(docs.mapInArrow(found, "doc_id long, cid long, n long, block int, counts binary"), "classes")
+    fields = "doc_id long, text_hash long, cid long, n long, tokens array<long>, block int, counts binary"
+    rows = scratch.table(docs.mapInArrow(freed(found), fields), "survey")
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
                 sums[b] = sums.get(b, 0) + np.frombuffer(zstandard.decompress(c.as_py()), np.int64)
+        return sums
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = summed(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], ["block", "counts"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = summed(batches)
         out = [np.minimum(8 * np.log2(1.0 + s), 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["block", "classes"])
 
-    blocks = rows.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(added, "block int, classes binary").collect()
-    rarity = np.zeros(1 << CELLS_LOG2, np.uint8)  # 2 MB, whatever the corpus
-    for r in blocks:
+    blocks = rows.filter("block IS NOT NULL").select("block", "counts")
+    once = blocks.repartition(F.col("block"), F.pmod(F.xxhash64("counts"), F.lit(SUM_PARTS))).mapInArrow(added, "block int, counts binary")
+    rarity = np.zeros(1 << CELLS_LOG2, np.uint8)  # 4 MB, whatever the corpus
+    for r in once.repartition("block").mapInArrow(banded, "block int, classes binary").collect():
         rarity[r["block"] << BLOCK_LOG2 : (r["block"] + 1) << BLOCK_LOG2] = np.frombuffer(r["classes"], np.uint8)
-    return rows.filter("block IS NULL").select("doc_id", "cid", "n"), rarity
-
-
-def _prefixes(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """(cid, n, prefix, signature) of every class: the n - t + 2 rarest of its shingles, and counts by cell (null if they don't fit)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            for lo, hi, h, row, n in _sets(batch.column(1), size):
-                cid = _class_ids(h, row, n).view(np.int64)
-                order = np.lexsort((h, table[h >> _U(64 - CELLS_LOG2)], row))
-                ends = np.cumsum(n)
-                keep = np.minimum(n - _required(n, percent) + 2, n)
-                place = np.arange(len(h)) - np.repeat(ends - n, n)
-                first = h[order][place < np.repeat(keep, n)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(first))
-                cells = np.bincount(row * SIGNATURE + (h % _U(SIGNATURE)).astype(np.int64), minlength=SIGNATURE * (hi - lo)).reshape(-1, SIGNATURE)
-                fit = cells.max(axis=1, initial=0) < 256
-                signs = pa.array([c.tobytes() if f else None for c, f in zip(cells.astype(np.uint8), fit)], pa.binary())
-                some = pa.array(n > 1)  # a set of one links with its like only
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n, pa.int64()), lists, signs], ["cid", "n", "prefix", "signature"]).filter(some)
-
-    each = docs.mapInArrow(found, "cid long, n long, prefix array<long>, signature binary")
-    return each.groupBy("cid", "n").agg(F.first(F.struct("prefix", "signature")).alias("s")).select("cid", "n", "s.prefix", "s.signature")
+    return rows.filter("block IS NULL").drop("block", "counts"), rarity
 
 
 # -- lists ------------------------------------------------------------------------------------
@@ -173,165 +176,187 @@ def choose_boundary(sizes: list[tuple[int, float, float]]) -> int:
     return at
 
 
-def _postings(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, cid, n): subsets of two of light sets, shingles of heavy sets and of the light ones that may link with one."""
+def _costs(classes: DataFrame, percent: int, rarity: np.ndarray) -> list[tuple[int, float, float]]:
+    """For each size up to ``LIGHT_MOST``: its sets' subsets, and the entries of the lists that they would scan."""
+    shared = classes.sparkSession.sparkContext.broadcast(rarity)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            h = batch.column(1).flatten().to_numpy().view(np.uint64)
+            order = np.lexsort((h, shared.value[_cells(h)], row))
+            first = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(n - _required(n, percent) + 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(n[row][first]), pa.array(h[order][first].view(np.int64))], ["n", "key"])
+
+    small = classes.filter(F.size("tokens") > 0).groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select("n", "tokens")
+    lists = small.mapInArrow(prefixes, "n long, key long").groupBy("key", "n").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("length"), F.collect_list(F.struct("n", "m")).alias("by"))
+    scans = {r["n"]: float(r["s"]) for r in lists.select("length", F.inline("by")).groupBy("n").agg(F.sum(F.col("m") * F.col("length")).alias("s")).collect()}
+    out = []
+    for r in small.groupBy("n").agg(F.count("*").alias("m")).collect():
+        n = r["n"]
+        p = min(n - int(_required(np.array(n), percent)) + 2, n)
+        out.append((n, r["m"] * p * (p - 1) / 2, scans[n]))
+    return out
+
+
+def _postings(docs: DataFrame, size: int, percent: int, rarity: np.ndarray, boundary: int) -> DataFrame:
+    """(key, part, pos, cid, n): subsets of two of light sets, shingles of heavy sets and of the light ones that may link with one."""
     least = int(_required(np.array([max(boundary, 1)]), percent)[0])
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            keys, cids, ns = [], [], []
-            sizes = batch.column(1).to_numpy()
-            for i, (cid, n) in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist())):
-                h = batch.column(2)[i].values.to_numpy().view(np.uint64)
-                mine = []
-                if n < boundary:
-                    x, y = np.triu_indices(len(h), 1)
-                    mine.append(mix(mix(np.minimum(h[x], h[y])) + np.maximum(h[x], h[y])))
-                if n >= least:
-                    mine.append(h[: n - -(-n * percent // 100) + 1])
-                for m in mine:
-                    keys.append(m)
-                    cids.append(np.full(len(m), cid))
-                    ns.append(np.full(len(m), n))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns).astype(np.int32))], ["key", "cid", "n"])
-
-    return prefixes.select("cid", "n", "prefix").mapInArrow(listed, "key long, cid long, n int")
+            for _, _, h, row, n in _sets(batch.column(0), size):
+                cid = _class_ids(h, row, n).view(np.int64)
+                use = _fresh(cid, seen) & (n > 1)  # a set of one links with its like only
+                mine = use[row]
+                h, row = h[mine], row[mine]
+                band = table[_cells(h)]
+                order = np.lexsort((h, band, row))
+                h, band = h[order], band[order]
+                m = np.where(use, n, 0)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(m) - m, m)
+                at = np.flatnonzero((place < (n - _required(n, percent) + 1)[row]) & (n[row] >= least))
+                found = [(h[at], band[at], place[at], row[at])]
+                ends = np.cumsum(m)
+                for i in np.flatnonzero(use & (n < boundary)).tolist():
+                    lo = int(ends[i] - m[i])
+                    x, y = np.triu_indices(min(int(n[i] - _required(n[i], percent)) + 2, int(n[i])), 1)
+                    one, two = h[lo + x], h[lo + y]
+                    found.append((mix(mix(np.minimum(one, two)) + np.maximum(one, two)), band[lo + x], y - 1, np.full(len(x), i)))
+                key, band, pos, row = (np.concatenate(c) for c in zip(*found))
+                parts = np.ceil(np.exp2(band / 8.0) / LONG_LIST).astype(np.int64)
+                part = np.where(parts > 1, (mix(cid[row].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
+                columns = [pa.array(key.view(np.int64)), pa.array(part, pa.int32()), pa.array(pos, pa.int32()), pa.array(cid[row]), pa.array(n[row], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "part", "pos", "cid", "n"])
+
+    return docs.select("text").mapInArrow(freed(listed), "key long, part int, pos int, cid long, n int")
 
 
 def read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid, n) in order of key, as (key, cid, n, first, first_n) for keys with two rows or more; a list may go on in later batches."""
-    names = ["key", "cid", "n", "first", "first_n"]
-    last: tuple[int, int, int, bool] | None = None  # key, first, first_n, and whether the first has been given out
+    """Rows (key, part, pos, cid, n) in that order, each once, as (key, cid, n, pos, first, first_n, first_pos) for lists with two rows or more.
+
+    A list may go on in later batches; none is held. Parts of a long list (``part`` from 0) are given out even if they have one row.
+    """
+    names = ["key", "cid", "n", "pos", "first", "first_n", "first_pos"]
+    last: list[int] | None = None  # key, part, its last cid; first cid, n and pos; whether the first has been given out
     for batch in batches:
-        key, cid, n = (batch.column(i).to_numpy() for i in range(3))
+        key, part, pos, cid, n = (batch.column(i).to_numpy() for i in range(5))
+        if not len(key):
+            continue
+        before = last if last is not None else [0, -2, 0]
+        new = (key != np.append(before[0], key[:-1])) | (part != np.append(before[1], part[:-1]))
+        once = new | (cid != np.append(before[2], cid[:-1]))
+        key, part, pos, cid, n, new = (x[once] for x in (key, part, pos, cid, n, new))
         if not len(key):
             continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        if last is not None and key[0] == last[0]:
-            new[0] = False
         starts = np.flatnonzero(new)
-        first, first_n, many = np.empty(len(key), np.int64), np.empty(len(key), np.int32), np.ones(len(key), bool)
-        upto = starts[0] if len(starts) else len(key)
-        ahead = []
+        upto = int(starts[0]) if len(starts) else len(key)
+        first, first_n, first_pos, many = np.empty(len(key), np.int64), np.empty(len(key), np.int32), np.empty(len(key), np.int32), np.ones(len(key), bool)
+        ahead = None
         if upto:  # these go on with the last batch's list
-            first[:upto], first_n[:upto] = last[1], last[2]
-            if not last[3]:
-                ahead = [last[0], last[1], last[2], last[1], last[2]]
-                last = (*last[:3], True)
+            first[:upto], first_n[:upto], first_pos[:upto] = last[3:6]
+            if not last[6]:
+                ahead = [last[0], *last[3:6], *last[3:6]]
+            last = [last[0], last[1], int(cid[upto - 1]), *last[3:6], True]
         if len(starts):
             sizes = np.diff(np.append(starts, len(key)))
-            first[upto:], first_n[upto:] = np.repeat(cid[starts], sizes), np.repeat(n[starts], sizes)
-            many[upto:] = np.repeat(sizes > 1, sizes)
-            last = (int(key[starts[-1]]), int(cid[starts[-1]]), int(n[starts[-1]]), bool(sizes[-1] > 1))
-        out = [key[many], cid[many], n[many], first[many], first_n[many]]
+            for out, of in ((first, cid), (first_n, n), (first_pos, pos)):
+                out[upto:] = np.repeat(of[starts], sizes)
+            many[upto:] = np.repeat((sizes > 1) | (part[starts] >= 0), sizes)
+            s = starts[-1]
+            last = [int(key[s]), int(part[s]), int(cid[-1]), int(cid[s]), int(n[s]), int(pos[s]), bool(many[s])]
+        rows = [x[many] for x in (key, cid, n, pos, first, first_n, first_pos)]
         if ahead:
-            out = [np.concatenate([np.array([e], o.dtype), o]) for e, o in zip(ahead, out)]
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names)
+            rows = [np.concatenate([np.array([a], r.dtype), r]) for a, r in zip(ahead, rows)]
+        if len(rows[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names)
 
 
-def _with_first(postings: DataFrame) -> DataFrame:
-    """Lists of two members or more, as (key, cid, n, first, first_n), read in order without holding a list."""
-    ordered = postings.repartition("key").sortWithinPartitions("key", "cid")
-    return ordered.mapInArrow(read_lists, "key long, cid long, n int, first long, first_n int")
+def _lists(postings: DataFrame) -> DataFrame:
+    """Lists of two members or more, read in order without holding one."""
+    ordered = postings.repartition("key", "part").sortWithinPartitions("key", "part", "pos", "cid")
+    return ordered.mapInArrow(freed(read_lists), "key long, cid long, n int, pos int, first long, first_n int, first_pos int")
 
 
-def _fits(a: str, b: str, percent: int):
-    """Sizes of which one is large enough for the other."""
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
+    """By two sets' sizes and places of a shared shingle, before which they share none (columns n and pos of each)."""
+    (xn, xp), (yn, yp) = ((F.col(n).cast("long"), F.col(p).cast("long")) for n, p in (a, b))
+    return (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent) & (F.least(xn - xp, yn - yp) * (100 + percent) >= (xn + yn) * percent)
 
 
 # -- comparison -------------------------------------------------------------------------------
 
 
-def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that may link, by their sizes and signatures."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.array([v.as_py() or bytes(SIGNATURE) for v in batch.column(i)], f"S{SIGNATURE}").view(np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
-            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            known = ~(batch.column(2).is_null().to_numpy(zero_copy_only=False) | batch.column(3).is_null().to_numpy(zero_copy_only=False))
-            yield batch.select([0, 1]).filter(pa.array(~known | (most * (100 + percent) >= n * percent)))
-
-    both = pairs.join(signs.select(F.col("cid").alias("a"), F.col("n").alias("xn"), F.col("signature").alias("x")), "a").join(signs.select(F.col("cid").alias("b"), F.col("n").alias("yn"), F.col("signature").alias("y")), "b")
-    return both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(kept, "a long, b long")
-
-
-def _linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, named: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose sets link, by exact comparison."""
-    likely = scratch.table(_possible(pairs, signs, percent), "likely")
-    wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct().join(named, "cid")
-    sets = scratch.table(_whole_sets(docs, scratch.table(wanted, "wanted"), size), "sets")
-    both = likely.join(sets.withColumnsRenamed({"cid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "tokens": "y"}), "b")
+    asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    # A document of each class will do.
+    one = classes.join(asked, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    sets = scratch.table(_whole_sets(docs, scratch.table(one.select("cid", "d.*"), "wanted"), size), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"cid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "tokens": "y"}), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     found = scratch.table(both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"), "links")
-    scratch.drop(sets, likely)
+    scratch.drop(sets)
     return found
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, tokens) of the wanted classes (cid, doc_id), from the whole texts of one of their documents each."""
+    """(cid, tokens) of the wanted classes (cid, doc_id, text_hash), from the whole texts of one of their documents each."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, h, row, n in _sets(batch.column(1), size):
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_class_ids(h, row, n).view(np.int64)), lists], ["want", "cid", "tokens"])
+            for lo, hi, h, _, n in _sets(batch.column(1), size):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ragged(h.view(np.int64), n, pa.int64())], ["cid", "tokens"])
 
-    ids = wanted.withColumnRenamed("cid", "want")
-    texts = match(docs.select("doc_id", "text"), F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id"]).select("want", "text")
-    return texts.mapInArrow(found, "want long, cid long, tokens array<long>").filter("want = cid").select("cid", "tokens").dropDuplicates(["cid"])
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = match(docs, keys, ["doc_id", "text_hash"]).select("cid", "text")
+    return texts.mapInArrow(freed(found), "cid long, tokens array<long>").dropDuplicates(["cid"])
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, class_id (the same for equal sets)."""
+    """One row a document: doc_id, n_shingles, component_id, class_id (the smallest doc_id with an equal set), text_hash (xxhash64) and group_id
+    (a name of the component that no other shares, whatever the ids; null without shingles)."""
     scratch = Scratch(docs.sparkSession, "ngramjoin")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    classes, rarity = _classes_and_counts(docs, size, scratch)
-    prefixes = scratch.table(_prefixes(docs, size, percent, rarity), "prefixes")
-    p = F.size("prefix").cast("double")
-    cost = prefixes.groupBy(F.floor(8 * F.log2("n")).alias("band")).agg(F.min("n").alias("n"), F.sum(p * (p - 1) / 2).alias("subsets"), F.sum(p - 1).alias("scans")).collect()
-    boundary = choose_boundary([(r["n"], r["subsets"], r["scans"]) for r in cost])
-    lists = scratch.table(_with_first(_postings(prefixes, boundary, percent)), "lists")
-    signs = scratch.table(prefixes.select("cid", "n", "signature").join(lists.select("cid").distinct(), "cid"), "signatures")
-    scratch.drop(prefixes)
-
-    named = classes.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    linked = lambda pairs: _linked(pairs, signs, docs, named, size, percent, scratch)
-
-    rest = lists
-    links = done = None
-    for turn in range(ROUNDS):
-        pairs = rest.filter((F.col("cid") != F.col("first")) & _fits("n", "first_n", percent)).select(F.least("cid", "first").alias("a"), F.greatest("cid", "first").alias("b")).distinct()
-        pairs = scratch.table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = linked(pairs)
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        groups = components(links, scratch)
-        # What isn't in the component of its list's first member is compared among itself.
-        of = lambda c, name: groups.select(F.col("node").alias(c), F.col("component").alias(name))
-        known = rest.join(of("cid", "g"), "cid", "left").join(of("first", "fg"), "first", "left").withColumn("g", F.coalesce("g", "cid")).withColumn("fg", F.coalesce("fg", "first"))
-        apart = scratch.table(known.filter("g <> fg").select("key", "cid", "n"), "apart")
-        if apart.isEmpty():
-            break
-        rest = scratch.table(_with_first(apart), "rest")
-
-    mine = lists.join(of("cid", "g"), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
-    mixed = mine.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
-    left = scratch.table(mine.join(mixed, "key").join(of("first", "fg"), "first", "left").select("key", "cid", "n", "g", (F.col("g") != F.coalesce("fg", "first")).alias("other")), "mixed")
-    x = left.filter("other").select("key", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"))
-    y = left.select("key", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"))
-    crossing = x.join(y, "key").filter((F.col("xg") != F.col("yg")) & _fits("xn", "yn", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = scratch.table(crossing.join(done, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        groups = components(links.unionByName(linked(pairs)), scratch)
-
-    grouped = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    grouped = scratch.table(grouped, "grouped")
-    names = grouped.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(names, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
+    texts = F.col(text).cast("string")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(texts).alias("text_hash"), texts.alias("text"))
+    classes, rarity = _survey(docs, size, scratch)
+    boundary = choose_boundary(_costs(classes, percent, rarity))
+    lists = scratch.table(_lists(_postings(docs, size, percent, rarity, boundary)), "lists")
+    classes = classes.drop("tokens")
+
+    firsts = lists.filter((F.col("cid") != F.col("first")) & _may_link(("n", "pos"), ("first_n", "first_pos"), percent))
+    pairs = scratch.table(firsts.select(F.least("cid", "first").alias("a"), F.greatest("cid", "first").alias("b")).distinct(), "pairs")
+    links = _linked(pairs, docs, classes, size, percent, scratch)
+    groups = components(links, scratch)
+
+    # Lists with members of different components: all their members against those that aren't in the first one's.
+    mine = lists.join(groups.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid", "left").select("key", "cid", "n", "pos", F.coalesce("g", "cid").alias("g"))
+    mixed = mine.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.struct("pos", "cid", "g")).alias("first")).filter("low <> high").select("key", F.col("first.g").alias("fg"))
+    left = scratch.table(mine.join(mixed, "key"), "mixed")
+    x = left.filter("g <> fg").select("key", *[F.col(c).alias(f"x{c}") for c in ("cid", "n", "pos", "g")])
+    y = left.select("key", *[F.col(c).alias(f"y{c}") for c in ("cid", "n", "pos", "g")])
+    crossing = x.join(y, "key").filter((F.col("xg") != F.col("yg")) & _may_link(("xn", "xpos"), ("yn", "ypos"), percent))
+    crossing = crossing.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b"), F.least("xg", "yg").alias("ga"), F.greatest("xg", "yg").alias("gb")).distinct()
+    rest = scratch.table(match(crossing, pairs, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        more = _linked(rest, docs, classes, size, percent, scratch)
+        joined = components(more.join(rest, ["a", "b"]).select("ga", "gb"), scratch, "ga", "gb")
+        # Components that turned out to be one take its name, and so do classes that were in none.
+        alone = joined.join(groups, joined["node"] == groups["component"], "left_anti").select("node", "component")
+        named = groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        groups = scratch.table(named.unionByName(alone), "groups")
+    scratch.drop(lists, left)
+
+    some = classes.filter("n > 0")
+    ids = some.groupBy("cid").agg(F.min("doc_id").alias("class_id"))
+    linked = ids.join(groups.withColumnRenamed("node", "cid"), "cid")
+    names = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = scratch.table(linked.join(names, "component").select("cid", "component", "component_id"), "named")
+    out = some.join(ids, "cid").join(named, "cid", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id").alias("component_id"), "class_id", "text_hash", F.coalesce("component", "cid").alias("group_id"))
+    none = classes.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("group_id"))
+    return out.unionByName(none)

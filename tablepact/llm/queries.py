@@ -20,7 +20,7 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_table(spark, sf_dir, "documents"), size=5, percent=75).drop("class_id")
+    return ngram_join.join(_table(spark, sf_dir, "documents"), size=5, percent=75).drop("text_hash", "group_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,10 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
-m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM (SELECT doc_id, list_sort(list(g)) AS k FROM s GROUP BY doc_id))
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(e.class_id, d.doc_id) AS class_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id LEFT JOIN e USING (doc_id)
 """
 
 OP3 = f"""

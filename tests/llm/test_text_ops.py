@@ -9,8 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tablepact.llm import html_text, ngram_join, substring_dedup, textkit, token_codes
+from tablepact.llm.store import Scratch
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -120,12 +122,17 @@ def test_added_tokens_in_a_text():
 # -- n-gram join ------------------------------------------------------------------------------
 
 
-def plain_components(rows, size=5, percent=75):
+def shingle_sets(rows, size=5):
     sets = []
     for _, text in rows:
         w = SPACED.findall(lowered(text))
         k = min(len(w), size)
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    return sets
+
+
+def plain_components(rows, size=5, percent=75):
+    sets = shingle_sets(rows, size)
     parent = list(range(len(rows)))
 
     def find(i):
@@ -153,12 +160,35 @@ def test_ngram_join(spark, docs, monkeypatch, boundary):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(DOCS)
 
 
-def test_ngram_join_without_pivots(spark, docs, monkeypatch):
-    """With one round of first members, links are left to the last step."""
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+def test_ngram_join_of_long_lists(spark, docs, monkeypatch):
+    """Lists in parts, each with a first member of its own; whole sets by a shuffled join."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()) == plain_components(DOCS)
 
 
+def test_ngram_join_lights_small_sets(spark, docs):
+    """With its own costs, sets of a few shingles list subsets."""
+    classes, rarity = ngram_join._survey(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 5, Scratch(spark, "t"))
+    costs = ngram_join._costs(classes, 75, rarity)
+    assert {n for n, _, _ in costs} == {len(s) for s in shingle_sets(DOCS) if 1 < len(s) <= ngram_join.LIGHT_MOST}
+    assert ngram_join.choose_boundary(costs) > min(n for n, _, _ in costs)
+
+
+def test_ngram_join_names_classes_and_groups(docs):
+    got = ngram_join.join(docs).collect()
+    sets = {}
+    for (doc, text), s in zip(DOCS, shingle_sets(DOCS)):
+        sets.setdefault(frozenset(s), []).append(doc)
+    smallest = {k: min((d for d in v if d is not None), default=None) for k, v in sets.items()}
+    want = Counter((doc, smallest[frozenset(s)] if s else doc) for (doc, _), s in zip(DOCS, shingle_sets(DOCS)))
+    assert Counter((r.doc_id, r.class_id) for r in got) == want
+    groups = {}
+    for r in got:
+        groups.setdefault(r.group_id, set()).add(r.component_id)
+    assert all(len(v) == 1 for k, v in groups.items() if k is not None)
+
+
 def test_ngram_join_of_nothing(spark, docs):
     assert ngram_join.join(docs.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in ngram_join.join(docs.filter("text IS NULL")).collect()] == [(next(d for d, t in DOCS if t is None), 0, next(d for d, t in DOCS if t is None))]
@@ -270,12 +300,19 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.lists(st.integers(0, 9), max_size=40).map(sorted), st.lists(st.integers(0, 40), max_size=6))
-def test_lists_are_read_across_batches(keys, cuts):
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-1, 1), st.integers(0, 4)), max_size=40), st.lists(st.integers(0, 40), max_size=6))
+def test_lists_are_read_across_batches(rows, cuts):
     import pyarrow as pa
 
-    rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(len(keys)), pa.int64()), pa.array([1] * len(keys), pa.int32())], ["key", "cid", "n"])
-    cuts = [0, *sorted(min(c, len(keys)) for c in cuts), len(keys)]
-    got = [r for b in ngram_join.read_lists(rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])) for r in zip(*(c.to_pylist() for c in b.columns))]
-    assert sorted(got) == [(k, i, 1, keys.index(k), 1) for i, k in enumerate(keys) if keys.count(k) > 1]
+    # key, part (from 0, or -1 in a key that isn't dealt out), class; its place follows from the class
+    rows = sorted((k, p if k % 2 else -1, 5 - c, c) for k, p, c in rows if not k % 2 or p >= 0)
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([7 + r[3] for r in rows], pa.int32())], ["key", "part", "pos", "cid", "n"])
+    cuts = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    got = [r for b in ngram_join.read_lists(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    lists = defaultdict(list)
+    for r in dict.fromkeys(rows):
+        lists[r[:2]].append(r)
+    want = [(k, c, 7 + c, pos, v[0][3], 7 + v[0][3], v[0][2]) for v in lists.values() if len(v) > 1 or v[0][1] >= 0 for k, _, pos, c in v]
+    assert sorted(got) == sorted(want)
