@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .joins import match
-from .native_words import words
+from .native_words import count_words, words
 
 #: The phrases that count as base, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -209,7 +209,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(base | kept, F.col("label"))).alias("labels"),
         (1 - F.exp(F.sum(F.when(kept, F.log(1 - F.col("confidence"))).otherwise(0.0)))).alias("score"), F.count_if(kept).alias("n_detections"),
     )
-    each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), count_words(F.col(text)).alias("n_words"))
     return match(each, by_doc, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
