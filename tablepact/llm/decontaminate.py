@@ -3,19 +3,17 @@
 An item's windows are its runs of ``window`` words, or all its words where they
 are fewer. A window is a set of shingles (runs of ``shingle`` words with their
 places in it). A document holds a window only if it holds all of the shingles, so one
-of them is a sufficient prefix: the rarest. Steps:
+of them is a sufficient prefix: the rarest, by the number of windows that have it. Steps:
 
-1. Shingles of all documents are joined with the items' shingles. This gives the
-   places of every item shingle in the documents, and with their counts the order by rarity.
-2. Only the places of each window's rarest shingle are joined with the windows.
-   The shingle's place in the window gives the place where the window would begin;
-   it has to begin and end within the document (position and length bounds).
-3. All of the window's shingles have to be in the document, each at its own place from there. Shingles that
-   were joined are compared word by word and overlap in all but one word, so these hold the window exactly.
-   No text is shuffled for this, only the places found in step 1.
+1. The prefix shingle of each window, with its place in the window, is the table that is joined; shingles that aren't
+   any window's prefix never are.
+2. Each place of a document's words is looked up there. The shingle's place in the window gives the place where the window
+   would begin; it has to begin and end within the document (position and length bounds).
+3. The item-sized run of words from there is compared with the window, in the row itself. So a document is read once
+   and no text or candidate is shuffled, whatever the windows that many documents share.
 
-Tables made of items alone are broadcast if they have at most ``broadcast_rows``
-rows; otherwise the joins shuffle. All steps are DataFrame operations.
+The table of prefixes is made of items alone and is broadcast. If it has more than ``broadcast_bytes``, it is cut into blocks of that size by
+shingle, and the documents are read once for each. All steps are DataFrame operations.
 
 Cases. A null text or one without words has no words; such an item isn't an item that can be found.
 Rows that share a doc_id are judged each by its own text. Items that share text are all reported. Items that
@@ -25,90 +23,84 @@ counts as an item but isn't listed. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import match
-from .native_words import words
+from .native_words import count_words, words
 from .store import Scratch
 
+BROADCAST_BYTES = 64 << 20
+#: Items of windows are broadcast if they are as many at most (two numbers each).
 BROADCAST_ROWS = 1_000_000
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
-    """(key, len, items): each different window, its words joined by a space."""
+    """(key, len, item_id): each item's different windows, their words joined by a space."""
     n = F.size("words")
     k = F.least(n, F.lit(window))
     at = F.explode(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("words", i, k), " ")))
-    one = items.filter(n > 0).select("item_id", k.alias("len"), at.alias("key"))
-    return one.groupBy("key", "len").agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
+    return items.filter(n > 0).select("item_id", k.alias("len"), at.alias("key")).distinct()
 
 
-def _shingles(windows: DataFrame, k: int, shingle: int) -> DataFrame:
-    """(token, shingle, offset, key, len): the shingles of ``k`` words of the windows that have as many, or of ``shingle`` or more."""
-    w = F.split("key", " ")
-    mine = windows.filter(F.least("len", F.lit(shingle)) == k)
-    places = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.slice(w, i, k))).alias("offset", "s")
-    return mine.select("key", "len", places).select("key", "len", "offset", F.xxhash64(*[F.col("s")[i] for i in range(k)]).alias("token"), F.array_join("s", " ").alias("shingle"))
+def _token(said: list[Column]) -> Column:
+    return F.xxhash64(*said)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = BROADCAST_ROWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Each document (doc_id, text_hash, n_words), and the places of windows in them (doc_id, text_hash, start, len, items, unnamed)."""
+def _prefixes(windows: DataFrame, shingle: int) -> DataFrame:
+    """(token, k, offset, key, len): each window's rarest shingle, of ``shingle`` words or all that it has, and its place."""
+    w, k = F.split("key", " "), F.least("len", F.lit(shingle))
+    found = None
+    for size in range(1, shingle + 1):
+        places = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.slice(w, i, size))).alias("offset", "s")  # noqa: B023
+        some = windows.filter(k == size).select("key", "len", places).select("key", "len", F.lit(size).alias("k"), "offset", _token([F.col("s")[i] for i in range(size)]).alias("token"))
+        found = some if found is None else found.unionByName(some)
+    counts = found.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = found.join(counts, "token").groupBy("key", "len", "k").agg(F.min(F.struct("n", "token", "offset")).alias("p"))
+    return rarest.select("p.token", "k", "p.offset", "key", "len")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_bytes: int = BROADCAST_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The places of windows in documents (doc_id, text_hash, start, len, key), and the items' windows (key, len, item_id)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("words"))
     windows = scratch.table(_windows(items, window), "windows")
-    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("words"))
-    lengths = sorted((r[0] for r in windows.select(F.least("len", F.lit(shingle))).distinct().collect()), reverse=True)
-    found = []
-    for k in lengths or [shingle]:
-        n = F.size("words")
-        rows = base.select("doc_id", "text_hash", n.alias("n_words"), F.posexplode_outer(F.arrays_zip(*[F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(k)])).alias("pos", "s"))
-        said = [F.col(f"s.w{i}") for i in range(k)]
-        whole = rows.select("doc_id", "text_hash", "n_words", "pos", F.when(said[-1].isNotNull(), F.xxhash64(*said)).alias("token"), F.concat_ws(" ", *said).alias("said"))
-        tokens = few(scratch.table(_shingles(windows, k, shingle).select("token", "shingle").distinct(), "tokens"))
-        # A document's first row is kept for its number of words.
-        known = F.col("said") == F.col("shingle")
-        seen = whole.join(tokens, "token", "left").filter(known | F.col("pos").isNull() | (F.col("pos") == 0))
-        found.append(seen.select("doc_id", "text_hash", "n_words", "pos", F.when(known, F.col("token")).alias("token"), F.lit(k).alias("k")))
-    places = found[0]
-    for f in found[1:]:
-        places = places.unionByName(f)
-    places = scratch.table(places, "places")
-    each = places.filter((F.col("k") == (lengths or [shingle])[0]) & (F.coalesce("pos", F.lit(0)) == 0)).select("doc_id", "text_hash", "n_words")
-
-    verified = None
-    for k in lengths:
-        mine = places.filter((F.col("k") == k) & F.col("token").isNotNull()).select("doc_id", "text_hash", "n_words", "pos", "token").distinct()
-        counts = mine.groupBy("token").agg(F.count("*").alias("n"))
-        shingles = few(scratch.table(_shingles(windows, k, shingle).select("key", "len", "offset", "token"), "shingles"))
-        rarest = shingles.join(counts, "token", "left").groupBy("key", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("p"), F.count("*").alias("needed"))
-        prefix = few(scratch.table(rarest.filter("p.n > 0").select(F.col("p.token").alias("token"), F.col("p.offset").alias("offset"), "key", "len", "needed"), "prefix"))
-        start = F.col("pos") - F.col("offset")
-        candidates = mine.join(prefix, "token").filter((start >= 0) & (start + F.col("len") <= F.col("n_words"))).select("doc_id", "text_hash", start.alias("start"), "len", "key", "needed")
-        asked = candidates.join(shingles.drop("len"), "key").withColumn("pos", F.col("start") + F.col("offset")).drop("offset")
-        there = match(asked, mine.drop("n_words"), ["doc_id", "text_hash", "pos", "token"]).groupBy("doc_id", "text_hash", "start", "len", "key", "needed").agg(F.count("*").alias("have"))
-        held = there.filter("have = needed").select("doc_id", "text_hash", "start", "len", "key")
-        verified = held if verified is None else verified.unionByName(held)
-    if verified is None:
-        return each, each.limit(0).select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("len"), F.array(F.lit(None).cast(items.schema["item_id"].dataType)).alias("items"), F.lit(False).alias("unnamed"))
-    named = verified.join(few(windows.drop("len")), "key").select("doc_id", "text_hash", "start", "len", "items", "unnamed")
-    return each, scratch.table(named, "hits")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
+    prefixes = scratch.table(_prefixes(windows.select("key", "len").distinct(), shingle), "prefixes")
+    size = prefixes.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
+    blocks = -(-size // broadcast_bytes)
+    sizes = sorted((r["k"] for r in prefixes.select("k").distinct().collect()), reverse=True)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("words"))
+    # An outer explode: from the other Spark would infer a filter that cuts the words a second time.
+    rows = rows.select("*", F.posexplode_outer("words").alias("pos", "w0"))
+    start = F.col("pos") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("len") <= F.size("words"))
+    same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ") == F.col("key")
+    found = prefixes.select(F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), "len", "key").filter("false")
+    for k in sizes:
+        said = [F.col("w0"), *[F.get("words", F.col("pos") + i) for i in range(1, k)]]
+        for block in range(blocks):
+            mine = prefixes.filter((F.col("k") == k) & (F.pmod(F.xxhash64("token"), F.lit(blocks)) == block))
+            seen = rows.withColumn("_token", _token(said)).join(F.broadcast(mine), (F.col("_token") == F.col("token")) & inside & same)
+            found = found.unionByName(seen.select("doc_id", "text_hash", start.alias("start"), "len", "key"))
+    return scratch.table(found, "places"), windows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and text_hash)."""
-    each, found = hits(docs, benchmark, window, **options)
+    places, windows = hits(docs, benchmark, window, doc_id=doc_id, text=text, **options)
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")),
     )["n"]
-    by_doc = found.groupBy("doc_id", "text_hash").agg(covered.cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("unnamed").alias("unnamed"))
-    ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.cast("string")))
-    by_doc = by_doc.withColumn("items", F.transform("items", lambda x: x.cast("string")))
+    spans = places.groupBy("doc_id", "text_hash").agg(covered.cast("long").alias("n_hit"))
+    few = F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows
+    items = places.select("doc_id", "text_hash", "key", "len").distinct().join(few, ["key", "len"])
+    # A null id counts as an item but isn't listed.
+    items = items.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
+    by_doc = match(spans, items.select("doc_id", "text_hash", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items")), ["doc_id", "text_hash"])
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), count_words(F.col(text)).alias("n_words"))
     return match(each, by_doc, ["doc_id", "text_hash"], "left").select(
-        "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        (F.size(F.coalesce("items", F.array().cast("array<string>"))) + F.coalesce("unnamed", F.lit(False)).cast("int")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

@@ -5,8 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from tablepact.llm import decontaminate, license_scan, mixing
+from tablepact.llm import decontaminate, license_scan, mixing, native_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,7 +116,7 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(*b, 0) for b in BENCH], "item_id long, text string, len int")
     want = plain_contamination(DOCS, BENCH)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    for options in ({}, {"broadcast_rows": 0}):
+    for options in ({}, {"broadcast_bytes": 400}):  # the prefixes whole, and in blocks
         got = decontaminate.contamination(docs, items, **options).select(*names).collect()
         assert sorted(map(tuple, got), key=str) == want
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
@@ -122,6 +124,21 @@ def test_decontamination(spark):
     assert len(none) == len(DOCS) and not any(r.contaminated for r in none) and {r.n_words for r in none} == {len(WORD.findall(lowered(t))) for _, t in DOCS}
 
 
+def test_prefixes_are_the_rarest_shingles(spark):
+    """Of a window's shingles, the one that fewest windows have."""
+    windows = spark.createDataFrame([("a b c d", 4), ("b c d e", 4), ("c d e f", 4), ("a b", 2)], "key string, len int")
+    got = {r.key: (r.k, r.offset) for r in decontaminate._prefixes(windows, 3).collect()}
+    assert got["a b c d"] == (3, 0) and got["c d e f"] == (3, 1) and got["a b"] == (2, 0) and got["b c d e"][0] == 3
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ09 .-_é😀\x00\x7f\x80\n"), max_size=25) | st.none(), min_size=1, max_size=6))
+def test_native_words_equal_regular_expressions(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", native_words.words(F.col("t")).alias("w"), native_words.count_words(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r.w == WORD.findall(lowered(texts[r.i])) and r.n == len(r.w)
+
+
 # -- licenses ---------------------------------------------------------------------------------
 
 LICENSED = [
@@ -211,3 +228,16 @@ def test_names_with_other_gates(spark):
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     assert [got[i].labels for i in range(len(texts))] == list(texts.values())
     assert got[0].score == 0.95 and got[5].n_detections == 3
+
+
+def test_mixing_says_when_it_does_not_converge(spark, mixed):
+    from tablepact.llm.store import Scratch
+
+    cells = spark.createDataFrame([("a", 3, 10), ("a", 500, 4), ("b", 2, 5)], "source string, size long, m long")
+    goals = spark.createDataFrame([("a", 2030, 1000.0), ("b", 10, 20.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="converge"):
+        mixing.solve(cells, goals, 2.0, Scratch(spark, "t"), steps=1)
+    (r,) = mixing.solve(cells, goals, 2.0, Scratch(spark, "t")).collect()  # b is at its limit and needs no dual
+    import math
+
+    assert r.source == "a" and sum(m * s * min(2, math.exp(r.b * s / r.scale)) for s, m in ((3, 10), (500, 4))) == pytest.approx(1000, rel=1e-8)
