@@ -18,7 +18,7 @@ Everything is DataFrame operations. The only rows not spread out are one for eac
 Cases. A null text has size 0 and is never taken; so are all documents of a source
 without words. A null source is a source of its own, the last. Rows with the same
 id are documents of their own. An empty table gives an empty one. A source that
-stops at the limit is taken whole, ``limit`` times. Columns of the input named like those added are replaced.
+stops at the limit is taken whole, ``limit`` times. Columns of the input named like those added (``ADDED``) are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .joins import match
 from .store import Scratch
 
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
-STEPS = 40
+STEPS = 200
 TOLERANCE = 1e-9
+#: Stands for a bound that isn't known yet.
+FAR = 1e18
 
 
 def n_words(text: Column) -> Column:
@@ -59,16 +62,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, limit:
 
 
 def solve(cells: DataFrame, goals: DataFrame, limit: float, scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """(source, b, scale): the dual variable of each source, by safeguarded Newton steps over the cells."""
-    # b is sought between bounds that hold for any source: its largest document's rate is limit or its rate can't fall further.
+    """(source, b, scale): the dual variable of each source with a target between nothing and its limit, by safeguarded Newton steps over the cells.
+
+    A step that would leave the bracket, or go too far, halves it instead. Raises if that hasn't come to an end after ``steps``.
+    """
     scales = cells.filter("size > 0").groupBy("source").agg((F.sum(F.col("m") * F.col("size") * F.col("size")) / F.sum(F.col("m") * F.col("size"))).alias("scale"))
     state = (
-        match(scales, goals, ["source"])
-        .select("source", "scale", "target", "source_size", F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-12))).alias("b"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("done"))
-        .filter("source_size > 0")
+        match(scales, goals.filter((F.col("target") > 0) & (F.col("target") < limit * F.col("source_size"))), ["source"])
+        .select("source", "scale", "target", "source_size", F.log(F.col("target") / F.col("source_size")).alias("b"), F.lit(-FAR).alias("lo"), F.lit(FAR).alias("hi"), F.lit(False).alias("done"))
     )
     state = scratch.table(state, "dual")
     for _ in range(steps):
+        if state.filter(~F.col("done")).isEmpty():
+            return state.select("source", "b", "scale")
         rate = F.least(F.lit(limit), F.exp(F.least(F.col("b") * F.col("size") / F.col("scale"), F.lit(50.0))))
         words = F.col("m") * F.col("size") * rate
         slope = F.when(rate < limit, words * F.col("size") / F.col("scale")).otherwise(0.0)
@@ -83,15 +89,16 @@ def solve(cells: DataFrame, goals: DataFrame, limit: float, scratch: Scratch, st
             got.withColumn("hi", F.when(miss > 0, F.col("b")).otherwise(F.col("hi")))
             .withColumn("lo", F.when(miss < 0, F.col("b")).otherwise(F.col("lo")))
             .withColumn("newton", F.when(F.col("slope") > 0, F.col("b") - miss / F.col("slope")))
-            .withColumn("middle", F.when(F.col("lo") <= -1e6, F.col("hi") * 2 - 1).when(F.col("hi") >= 1e6, F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2))
+            .withColumn("middle", F.when(F.col("lo") <= -FAR, F.col("hi") * 2 - 1).when(F.col("hi") >= FAR, F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2))
             .withColumn("inside", (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi")) & (F.abs(F.col("newton") - F.col("b")) <= 1 + F.abs(F.col("b"))))
             .withColumn("next", F.when(near, F.col("b")).when(F.coalesce("inside", F.lit(False)), F.col("newton")).otherwise(F.col("middle")))
-            .select("source", "scale", "target", "source_size", F.col("next").alias("b"), "lo", "hi", (near | (F.abs(F.col("b")) > 1e5)).alias("done"))
+            # A bracket that doubles can't halve any further is as near as they come.
+            .select("source", "scale", "target", "source_size", F.col("next").alias("b"), "lo", "hi", (near | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs("b"))).alias("done"))
         )
         state, old = scratch.table(step.unionByName(state.filter("done")), "dual"), state
         scratch.drop(old)
-        if state.filter(~F.col("done")).isEmpty():
-            break
+    if not state.filter(~F.col("done")).isEmpty():
+        raise RuntimeError(f"the dual of {state.filter(~F.col('done')).count()} sources did not converge in {steps} steps")
     return state.select("source", "b", "scale")
 
 
@@ -102,8 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     out; ``limit`` bounds a source's target and a document's copies.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    added = ("size", "source_size", "target", "rate", "copies", "taken", "base", "extra", "m", "parts", "part_extra")
-    docs = docs.drop(*added).withColumn("size", n_words(F.col(text)))
+    docs = docs.drop(*ADDED).withColumn("size", n_words(F.col(text)))
     cells = scratch.table(docs.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("m")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).cast("long").alias("source_size"))
     goals = scratch.table(targets(sources, weights, share, limit), "targets")
@@ -112,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     full = F.col("target") >= limit * F.col("source_size")
     rated = (
         match(match(cells, goals, ["source"]), dual, ["source"], "left")
-        .select("source", "size", "m", "source_size", "target", F.when((F.col("size") == 0) | F.col("b").isNull(), 0.0).when(full, float(limit)).otherwise(F.least(F.lit(float(limit)), F.exp(F.least(F.col("b") * F.col("size") / F.col("scale"), F.lit(50.0))))).alias("rate"))
+        .select("source", "size", "m", "source_size", "target", F.when(F.col("size") == 0, 0.0).when(full, float(limit)).when(F.col("b").isNull(), 0.0).otherwise(F.least(F.lit(float(limit)), F.exp(F.least(F.col("b") * F.col("size") / F.col("scale"), F.lit(50.0))))).alias("rate"))
         .withColumn("base", F.floor("rate").cast("long"))
     )
     # Carried from the smallest size to the largest, so that each cell's sum of extra copies is off by less than one.
@@ -129,26 +135,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     rated = rated.withColumn("c", F.col("c") + F.when(F.col("miss") > 0, turned).otherwise(-turned))
     rated = rated.withColumn("base", F.floor(F.col("c") / F.col("m")).cast("long")).withColumn("extra", F.col("c") - F.col("base") * F.col("m")).drop("upto", "c", "miss", "free")
     rated = rated.withColumn("parts", F.ceil(F.sqrt("m")).cast("long"))
-    rated = scratch.table(rated, "rates")
+    # From here on beside the input's columns, whatever their names.
+    rated = scratch.table(rated, "rates").withColumnsRenamed({c: f"_mix_{c}" for c in ("base", "extra", "m", "parts")})
+    extra, m = F.col("_mix_extra"), F.col("_mix_m")
 
     key = docs.select(F.col(source).alias("source"), "size", F.col(doc_id).alias("_id"))
     parts = (
-        match(key, rated.filter("extra > 0 AND extra < m"), ["source", "size"])
-        .groupBy("source", "size", "extra", "m", F.pmod(F.xxhash64("_id"), F.col("parts")).alias("part")).agg(F.count("*").alias("n"))
+        match(key, rated.filter((extra > 0) & (extra < m)), ["source", "size"])
+        .groupBy("source", "size", "_mix_extra", "_mix_m", F.pmod(F.xxhash64("_id"), F.col("_mix_parts")).alias("part")).agg(F.count("*").alias("n"))
     )
     # A cell's extra copies are dealt to its parts in proportion.
     along = W.partitionBy("source", "size").orderBy("part")
-    upto = F.floor(F.col("extra") * F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) / F.col("m") + 1e-9)
-    before = F.floor(F.col("extra") * (F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")) / F.col("m") + 1e-9)
-    parts = scratch.table(parts.select("source", "size", "part", (upto - before).cast("long").alias("part_extra")), "parts")
-
-    joined = match(docs, rated, {source: "source", "size": "size"}).withColumn("_part", F.pmod(F.xxhash64(doc_id), F.col("parts")))
-    joined = match(joined, parts, {source: "source", "size": "size", "_part": "part"}, "left")
-    place = F.row_number().over(W.partitionBy(source, "size", "_part").orderBy(doc_id, F.xxhash64(text)))
-    more = F.when(F.col("extra") >= F.col("m"), 1).when(F.col("extra") <= 0, 0).otherwise((F.col("_place") <= F.coalesce("part_extra", F.lit(0))).cast("int"))
+    upto = F.floor(extra * F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) / m + 1e-9)
+    before = F.floor(extra * (F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")) / m + 1e-9)
+    parts = scratch.table(parts.select("source", "size", "part", (upto - before).cast("long").alias("_mix_part_extra")), "parts")
+
+    joined = match(docs, rated, {source: "source", "size": "size"}).withColumn("_mix_part", F.pmod(F.xxhash64(doc_id), F.col("_mix_parts")))
+    joined = match(joined, parts, {source: "source", "size": "size", "_mix_part": "part"}, "left")
+    place = F.row_number().over(W.partitionBy(source, "size", "_mix_part").orderBy(doc_id, F.xxhash64(text)))
+    more = F.when(extra >= m, 1).when(extra <= 0, 0).otherwise((F.col("_mix_place") <= F.coalesce("_mix_part_extra", F.lit(0))).cast("int"))
     return (
-        joined.withColumn("_place", place)
-        .withColumn("copies", (F.col("base") + more).cast("long"))
+        joined.withColumn("_mix_place", place)
+        .withColumn("copies", (F.col("_mix_base") + more).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("base", "extra", "m", "parts", "part_extra", "_part", "_place")
+        .drop("_mix_base", "_mix_extra", "_mix_m", "_mix_parts", "_mix_part_extra", "_mix_part", "_mix_place")
     )
