@@ -296,7 +296,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     # A document of each class will do.
     one = classes.join(asked, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    sets = scratch.table(_whole_sets(docs, scratch.table(one.select("cid", "d.*"), "wanted"), size), "sets")
+    wanted = scratch.table(one.select("cid", "d.*"), "wanted")
+    sets = scratch.table(_whole_sets(docs, wanted, size), "sets")
+    if sets.count() > wanted.count():  # rows that are repeated whole
+        sets, repeated = scratch.table(sets.dropDuplicates(["cid"]), "sets"), sets
+        scratch.drop(repeated)
     both = pairs.join(sets.withColumnsRenamed({"cid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"cid": "b", "tokens": "y"}), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     found = scratch.table(both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"), "links")
@@ -305,16 +309,19 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, tokens) of the wanted classes (cid, doc_id, text_hash), from the whole texts of one of their documents each."""
+    """(cid, tokens) of the wanted classes (cid, doc_id, text_hash), from the whole texts of the documents of one key each."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for lo, hi, h, _, n in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ragged(h.view(np.int64), n, pa.int64())], ["cid", "tokens"])
+                cid = batch.column(0).slice(lo, hi - lo)
+                once = pa.array(_fresh(cid.to_numpy(), seen))
+                yield pa.RecordBatch.from_arrays([cid, ragged(h.view(np.int64), n, pa.int64())], ["cid", "tokens"]).filter(once)
 
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     texts = match(docs, keys, ["doc_id", "text_hash"]).select("cid", "text")
-    return texts.mapInArrow(freed(found), "cid long, tokens array<long>").dropDuplicates(["cid"])
+    return texts.mapInArrow(freed(found), "cid long, tokens array<long>")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,10 +360,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_i
 
     some = classes.filter("n > 0")
     ids = some.groupBy("cid").agg(F.min("doc_id").alias("class_id"))
-    linked = ids.join(groups.withColumnRenamed("node", "cid"), "cid")
-    names = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = scratch.table(linked.join(names, "component").select("cid", "component", "component_id"), "named")
-    out = some.join(ids, "cid").join(named, "cid", "left")
+    ids = scratch.table(ids.join(groups.withColumnRenamed("node", "cid"), "cid", "left"), "ids")
+    names = ids.filter("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = scratch.table(ids.join(names, "component", "left"), "named")
+    out = some.join(named, "cid")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class_id").alias("component_id"), "class_id", "text_hash", F.coalesce("component", "cid").alias("group_id"))
     none = classes.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("group_id"))
     return out.unionByName(none)

@@ -1,28 +1,45 @@
 """Tables that cut lineage, in the folder that every machine of the cluster shares.
 
-The folder is the one named by ``spark.checkpoint.dir``. Only where a session
-names none (tests, a laptop) is a default set.  Files are written and removed
+The folder is the one named by ``spark.checkpoint.dir``. Where a session names none, a folder of this
+machine serves if the session runs on this machine alone (``local`` master: tests, a laptop); elsewhere that is an error. Files are written and removed
 through Spark and Hadoop, so any file system that Spark can reach will do.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT = "/tmp/checkpoints"
+_collecting: list[list[Scratch]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a default is set only where there is none."""
+    """The cluster's shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = DEFAULT
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@contextmanager
+def collecting() -> Iterator[list[Scratch]]:
+    """Gathers the folders that operators open meanwhile, so that a caller who has written their results can remove them."""
+    made: list[Scratch] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
 class Scratch:
     """A run's own folder below the shared one; holds the tables that cut lineage."""
 
@@ -30,6 +47,12 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        for made in _collecting:
+            made.append(self)
+
+    def remove(self) -> None:
+        """Removes the folder with all of its tables."""
+        self.drop(self.path)
 
     def write(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> str:
         """Writes ``df`` as Parquet and returns its path."""
