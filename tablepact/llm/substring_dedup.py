@@ -38,7 +38,8 @@ from .textkit import SPACED, Run, freed, mix, ragged, runs, sequence_hashes, win
 
 GRAM = 5
 BITMAP_LOG2 = 28
-SHARD_SEGMENTS = 20_000
+#: An automaton looks for the first word of a phrase among those of all of its phrases, so shards are small.
+SHARD_SEGMENTS = 4_000
 MOST_SHARDS = 1_000_000
 LAST = (1 << 63) - 1
 _U = np.uint64
