@@ -9,11 +9,11 @@ those before it.
 ``encode_documents`` writes one file set: Parquet rows, each of them a shard of
 whole documents in ascending ``doc_id`` order whose ``payload`` has the layout
 that ``DacShard`` reads. The payload column is not compressed, so that a place in
-it can be addressed. ``read_documents`` reads the files back.
+it can be addressed. ``read_documents`` reads the files back, and ``read_token`` looks one token up in its shard.
 
 Cases. A null text is empty: it has the end id alone. A null ``doc_id`` comes
 first. Rows with the same ``doc_id`` are kept, one after another, in the order
-of their texts. An empty table gives no rows. Other columns are ignored. A text
+of their texts' hashes (so that many of them are dealt to many tasks). An empty table gives no rows. Other columns are ignored. A text
 longer than a shard is a shard by itself.
 """
 
@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .store import Scratch
+from .textkit import freed
 
 MAGIC = b"DAC1"
 WIDTH = 8
 RANK_BITS = 512
 SHARD_TOKENS = 1 << 19
-CACHE_WORDS, CACHE_PIECES = 250_000, 700_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 250_000
 
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -131,7 +132,8 @@ class ByteBpe:
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     _stops = frozenset(".,;:!?")
-    _odd = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n]|[\x1c-\x1f]|\A\Z")
+    #: White space other than spaces and line ends.
+    _rare = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         import json
@@ -151,18 +153,13 @@ class ByteBpe:
         self.pieces = regex.compile(self.PIECE)
         self.model = self.whole.model
         self.small: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-        class Words(dict):
-            def __missing__(words, word: str) -> bytes:
-                small = self.small
-                known = len(small)
-                ids = b"".join([small.get(p) or self._piece(p) for p in self._cut(word)])
-                # What is seen for the first time is kept as a piece alone.
-                if len(small) == known and len(words) < CACHE_WORDS:
-                    words[word] = ids
-                return ids
-
-        self.words = Words()
+    def _plain(self, text: str) -> bool:
+        """Whether words are set apart by single spaces and line ends alone, and none is an added token."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return not self._rare.search(text) and not any(t in text for t in self.added)
 
     def _cut(self, word: str) -> list[str]:
         """The pieces of a word with its space, or of one after a line end."""
@@ -175,19 +172,32 @@ class ByteBpe:
     def _piece(self, piece: str) -> bytes:
         ids = self.small.get(piece)
         if ids is None:
-            coded = self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))
-            ids = array("I", [t.id for t in coded]).tobytes()
-            if len(self.small) < CACHE_PIECES:
-                self.small[piece] = ids
+            said = piece if piece.isascii() else piece.encode().decode("latin-1")
+            ids = array("I", [t.id for t in self.model.tokenize(said.translate(self.bytes_as))]).tobytes()
+            if len(self.small) >= CACHE_PIECES:
+                self.small.clear()  # most are seen once; what recurs is soon back, and in ``words``
+            self.small[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that isn't kept yet. It is kept if all of its pieces were seen before, so words that are seen once aren't."""
+        pieces = self._cut(word)
+        known = all(p in self.small for p in pieces)
+        ids = b"".join(map(self._piece, pieces))
+        if known and len(self.words) < CACHE_WORDS:
+            self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not self.cached or self._odd.search(text) or any(t in text for t in self.added):
+        if not self.cached or not self._plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # The text is led by a line end, whose id is then left out; each word but those after a line end has its space.
-        found = b"".join(map(self.words.__getitem__, ("\n" + text).replace("\n", " \n").split(" ")[1:]))
-        return found[len(self._piece("\n")) :]
+        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)[len(self._piece("\n")) :]
 
 
 _coders: dict[str, ByteBpe] = {}
@@ -228,9 +238,9 @@ def encode_documents(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
         if ids:
             yield row()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    ordered.select("doc_id", "text").mapInArrow(freed(shards), SHARD_SCHEMA).write.option("compression", "none").parquet(out)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,23 +257,34 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """What the files hold of each document: doc_id, start (ids before it), n_tokens and ids_crc32.
-
-    One count for each file part, no more than the partitions of the write, is
-    summed on the driver to give each part its first place.
-    """
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+def _bases(shards: DataFrame) -> list[tuple[int, int]]:
+    """Each file part and the ids before it: one count for each, no more than the partitions of the write, is summed on the driver."""
     base, before = [], 0
-    for r in totals:
+    for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         base.append((r["part"], before))
         before += r["n"]
-    bases = spark.createDataFrame(base, "part int, base long")
-    found = shards.select("part", "first_token", "doc_ids", "payload").mapInArrow(_documents, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return base
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """What the files hold of each document: doc_id, start (ids before it), n_tokens and ids_crc32."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    bases = spark.createDataFrame(_bases(shards), "part int, base long")
+    found = shards.select("part", "first_token", "doc_ids", "payload").mapInArrow(freed(_documents), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_token(spark: SparkSession, path: str, i: int) -> int:
+    """The id at place ``i`` of all that the files hold. Only the counts of the shards and the one shard with that place are read, and no other id is decoded."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    part, base = max(((p, b) for p, b in _bases(shards) if b <= i), key=lambda x: (x[1], x[0]), default=(None, 0))
+    at = F.lit(i - base)
+    row = shards.filter((F.col("part") == part) & (F.col("first_token") <= at) & (at < F.col("first_token") + F.col("n_tokens"))).select("first_token", "payload").first() if part is not None else None
+    if row is None:
+        raise IndexError(i)
+    return DacShard(row["payload"]).token(i - base - row["first_token"])
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = None) -> DataFrame:
     """Encodes, writes and reads back; one row a document."""
     spark = docs.sparkSession

@@ -97,13 +97,49 @@ def test_tokens_of_documents(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     got = sorted(token_codes.tokenize(docs, path).collect(), key=lambda r: r.start)
-    rows = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode()))
-    start = 0
-    for r, (doc, text) in zip(got, rows, strict=True):
+    rows = sorted(docs.select("doc_id", F.xxhash64("text"), "text").collect(), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    everything, start = [], 0
+    for r, (doc, _, text) in zip(got, rows, strict=True):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+        everything += ids
     assert token_codes.tokenize(docs.limit(0), path).count() == 0
+    # Shards of a few ids hold the same, and each id can be looked up in them.
+    out = f"{Scratch(spark, 'shards').path}/small"
+    token_codes.encode_documents(docs, out, path, shard_tokens=200)
+    assert sorted(token_codes.read_documents(spark, out).collect(), key=lambda r: r.start) == got
+    assert spark.read.parquet(out).count() > 10
+    for i in (0, 1, 199, 200, 201, len(everything) // 2, len(everything) - 1):
+        assert token_codes.read_token(spark, out, i) == everything[i]
+    for i in (-1, len(everything)):
+        with pytest.raises(IndexError):
+            token_codes.read_token(spark, out, i)
+
+
+_coded = []
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.text(alphabet=st.sampled_from("aB'tsé \n\t\r1²३.,!?-_#\x1c\x85\xa0\u2003\u3000中😀ßǅ\u0301\u200d"), max_size=40) | st.text(max_size=40))
+def test_ids_equal_the_librarys(text):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    if not _coded:
+        _coded.append(token_codes.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")))
+    (code,) = _coded
+    for t in (text, text, f"word {text} word"):  # the second time from the cache
+        assert np.frombuffer(code.encode(t), "<u4").tolist() == code.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_cache_is_emptied_when_full(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_codes, "CACHE_PIECES", 5)
+    monkeypatch.setattr(token_codes, "CACHE_WORDS", 3)
+    code = token_codes.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("one two three four five six seven one two.", "one two three, one two! eight nine ten"):
+        for _ in range(3):
+            assert np.frombuffer(code.encode(text), "<u4").tolist() == code.whole.encode(text, add_special_tokens=False).ids
+    assert len(code.small) <= 5 and len(code.words) <= 3
 
 
 def test_added_tokens_in_a_text():
