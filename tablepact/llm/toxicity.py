@@ -8,12 +8,12 @@ is a penalty in the fit. So a term can't gain weight from the company it keeps i
 the labels, and a neutral mention of a group doesn't raise a score.
 
 The fit uses at most ``per_class`` labelled texts of each class, those with the lowest hash of
-their id (a documented bound; the driver holds only which of at most ``features`` features each of them
+their id (a documented bound, which holds for texts and not only for ids; the driver holds only which of at most ``features`` features each of them
 has). Scoring runs over every whole text, in Arrow batches, with the bounded model.
 
 Cases. A null, empty or wordless text gets the score of a text without features. Without labels, or without one of the
 classes, there is nothing to learn: the score is 0. Null labels are left out; a label without a document is too;
-repeated labels each count. Repeated documents each give a row. A null id is never held out. Other columns are ignored.
+labels and documents that are repeated whole count once in the fit, and an id with several texts or labels counts with each of them. Repeated documents each give a row. A null id is never held out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .store import Scratch
-from .textkit import ALNUM, mix, runs
+from .textkit import ALNUM, freed, mix, ragged, runs
 
 PER_CLASS = 8000
 FEATURES = 6000
@@ -164,7 +164,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, features: np.ndarray, prior:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_features: int = FEATURES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on at most ``per_class`` labelled documents of each class."""
     terms, _ = _identity()
-    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
+    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL").distinct()
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model()
@@ -175,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            for run in runs(batch.column(1), ALNUM, True):
+            for run in runs(batch.column(3), ALNUM, True):
                 h, row = features_of(run, terms)
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
@@ -184,12 +183,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
                 first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 h, row = h[first], row[first]
                 counts = np.bincount(row, minlength=run.hi - run.lo)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(y[run.lo : run.hi].astype(np.int32)), lists], ["y", "h"])
-
-    # At most 2 * per_class rows, so they are broadcast.
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
-    table = Scratch(docs.sparkSession, "toxicity").table(texts.mapInArrow(found, "y int, h array<long>"), "labelled")
+                keys = [batch.column(i).slice(run.lo, run.hi - run.lo) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, ragged(h.view(np.int64), counts, pa.int64())], ["y", "place", "text_hash", "h"])
+
+    # At most 2 * per_class rows, so they are broadcast. The ids chosen may have more texts than that; the bound is kept by a second choice.
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("y", F.xxhash64("doc_id", F.lit(17)).alias("place"), F.xxhash64("text").alias("text_hash"), "text")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    each = scratch.table(texts.mapInArrow(freed(found), "y int, place long, text_hash long, h array<long>").groupBy("y", "place", "text_hash").agg(F.first("h").alias("h")), "each")
+    first = [each.filter(F.col("y") == y).orderBy("place", "text_hash").limit(per_class) for y in (0, 1)]
+    table = scratch.table(first[0].unionByName(first[1]).select("y", "h"), "labelled")
     size = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return Model()
@@ -208,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
                 out.append(at[features[at] == h].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "at"])
 
-    rows = table.mapInArrow(places, "y int, at array<int>").collect()
+    rows = table.mapInArrow(places, "y int, at array<int>").collect()  # 2 * per_class at most
     rows.sort(key=lambda r: (r["y"], r["at"]))  # the fit doesn't depend on the order in which tasks end
     return fit_rows([np.array(r["at"], np.int64) for r in rows], np.array([r["y"] for r in rows], float), features, counts[1] / (counts[0] + counts[1]))
 
@@ -239,7 +242,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(scores, schema)
+    return docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(freed(scores), schema)
 
 
 def held_out(doc_id, folds: int = 5):
