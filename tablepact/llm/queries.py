@@ -36,8 +36,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: 85 % of the documents, by how much likelier they are among those labelled as good than among all."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    good = docs.join(F.broadcast(importance.target_ids(labels)), "doc_id", "left_semi")
-    return importance.resample(docs, good, share=0.85).filter("kept").drop("kept")
+    return importance.resample(docs, importance.target_texts(docs, labels), share=0.85).filter("kept").drop("kept", "text_hash")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
