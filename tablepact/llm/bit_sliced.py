@@ -170,7 +170,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     scratch = Scratch(vectors.sparkSession, "bitsliced")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n, asks = rows.agg(F.count("*"), F.count_if("asks")).first()
+    # Of rows that are repeated whole no more than k can be among a query's best. Rows of one id are dealt to groups by their vectors.
+    queries = rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("q"))
+    rows = scratch.table(rows.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m")).select("vec_id", F.explode(F.array_repeat("v", F.col("m"))).alias("v")), "rows")
+    queries = scratch.table(queries, "queries")
+    n, asks = rows.count(), queries.count()
     groups = max(1, -(-n // group_rows))
     least, most = group_queries
     blocks = max(1, -(-asks // min(most, max(least, -(-asks // 12)))))
@@ -180,9 +184,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         values = _matrix(table["v"].combine_chunks() if table["v"].num_chunks != 1 else table["v"].chunk(0))
         return pa.table({"ig": pa.array([table["ig"][0].as_py()], pa.int32()), "ids": pa.array([table["vec_id"].to_pylist()], pa.list_(pa.int64())), "payload": pa.array([build(values)], pa.binary())})
 
-    grouped = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("ig"))
+    grouped = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("ig"))
     indexed = scratch.table(grouped.groupBy("ig").applyInArrow(index, "ig int, ids array<long>, payload binary"), "index", codec="none")
-    queries = rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("q")).select("vec_id", "q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("jq"))
+    queries = queries.select("vec_id", "q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("jq"))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []

@@ -109,10 +109,62 @@ def test_importance(spark):
 @given(st.lists(st.sampled_from([-3.5, 0.0, 1e-9, 2.25, 70000.0]), min_size=1, max_size=30), st.integers(0, 31))
 def test_top_share_is_exact(spark, keys, k):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(keys)], "doc_id long, key double")
-    kept = {r.doc_id for r in importance.top_share(rows, "key", k, Scratch(spark, "t")).filter("kept").collect()}
+    kept = {r.doc_id for r in importance.top_share(rows, "key", k, Scratch(spark, "t"), ("doc_id",)).filter("kept").collect()}
     assert kept == set(sorted(range(len(keys)), key=lambda i: (-keys[i], i))[:k])
 
 
+def test_a_sample_ends_within_repeated_rows(spark):
+    """Of 50 rows of one id and another row, half is 26; of one id's texts, those of smaller hashes."""
+    docs = spark.createDataFrame([(7, "x y")] * 50 + [(8, "z")], "doc_id long, text string")
+    out = importance.resample(docs, docs.limit(0), share=0.5).collect()
+    assert len(out) == 51 and sum(r.kept for r in out) == 26 and sum(r.doc_id == 7 for r in out) == 50
+    docs = spark.createDataFrame([(7, t) for t in "abcdefgh"] + [(None, None)] * 3, "doc_id long, text string")
+    out = importance.resample(docs, docs.limit(0), share=0.5).collect()
+    named = sorted((r.text_hash, r.kept) for r in out if r.doc_id == 7)
+    assert sum(r.kept for r in out) == 6 and [k for _, k in named] == sorted((k for _, k in named), reverse=True)
+
+
+def test_weights_against_plain_counts(spark):
+    """Weights and the sample as plain Python has them, without the operator's buckets: no two n-grams of these texts share one."""
+    import re
+    from collections import Counter
+
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["Red", "blue,", "green", "hill.", "sea", "of"]) for _ in range(r.randint(0, 25)))) for i in range(60)] + [(60, None), (61, "of " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = []
+    for _, t in rows:
+        w = re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", (t or "").lower())
+        grams.append(Counter(w) + Counter(zip(w, w[1:])))
+    raw, good = sum(grams, Counter()), sum(grams[:20], Counter())
+    n, m = raw.total(), good.total()
+    out = {x.doc_id: x for x in importance.resample(docs, docs.filter("doc_id < 20"), share=0.4, buckets=1 << 20).collect()}
+    for (i, _), g in zip(rows, grams):
+        want = sum(c * (np.log((good[k] + 1) / (m + (1 << 20))) - np.log((raw[k] + 1) / (n + (1 << 20)))) for k, c in g.items())
+        assert out[i].log_weight == pytest.approx(want, rel=1e-9, abs=1e-9) and out[i].n_grams == g.total()
+    best = sorted(out.values(), key=lambda x: (-round(x.gumbel_key * 1e9), x.doc_id))[: int(np.ceil(0.4 * len(rows)))]
+    assert {x.doc_id for x in out.values() if x.kept} == {x.doc_id for x in best}
+
+
+def test_target_texts_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (None, 1), (9, 1)], "doc_id long, quality int")
+    for most in (importance.BROADCAST_IDS, 0):
+        monkeypatch.setattr(importance, "BROADCAST_IDS", most)
+        assert sorted(r["text"] for r in importance.target_texts(docs, labels).collect()) == ["b", "c"]
+
+
+def test_the_fit_is_bounded_by_texts(spark, monkeypatch):
+    """Ids with many texts: no more than twice ``per_class`` texts come to the driver."""
+    docs = spark.createDataFrame([(i % 4, f"word{i} rotten" if i % 2 else f"word{i} fine") for i in range(800)] + [(1, "same")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] * 3, "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.fit_rows
+    monkeypatch.setattr(toxicity, "fit_rows", lambda rows, *a, **k: seen.append(len(rows)) or plain(rows, *a, **k))
+    model = toxicity.fit(docs, labels, per_class=20)
+    assert seen == [40] and len(model.features)
+
+
 def test_gumbel_takes_in_proportion(spark):
     g = np.array([r[0] for r in spark.range(20_000).select(importance.gumbel(F.col("id"), 3)).collect()])
     assert abs(g.mean() - 0.5772) < 0.03 and abs(g.var() - np.pi**2 / 6) < 0.06
