@@ -37,7 +37,7 @@ MAGIC = b"DAC1"
 WIDTH = 8
 RANK_BITS = 512
 SHARD_TOKENS = 1 << 19
-CACHE_WORDS, CACHE_PIECES = 250_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 120_000
 
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -237,6 +237,7 @@ def encode_documents(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
                     ids, parts, ends, seq, before, held = [], [], [], seq + 1, before + held, 0
         if ids:
             yield row()
+        code.small.clear()  # words that recur stay for the worker's next task
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
