@@ -190,9 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.select("y", F.xxhash64("doc_id", F.lit(17)).alias("place"), F.xxhash64("text").alias("text_hash"), "text")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    each = scratch.table(texts.mapInArrow(freed(found), "y int, place long, text_hash long, h array<long>").groupBy("y", "place", "text_hash").agg(F.first("h").alias("h")), "each")
-    first = [each.filter(F.col("y") == y).orderBy("place", "text_hash").limit(per_class) for y in (0, 1)]
-    table = scratch.table(first[0].unionByName(first[1]).select("y", "h"), "labelled")
+    each = scratch.table(texts.mapInArrow(freed(found), "y int, place long, text_hash long, h array<long>"), "each")
+    keys = each.select("y", "place", "text_hash").distinct()
+    first = [keys.filter(F.col("y") == y).orderBy("place", "text_hash").limit(per_class) for y in (0, 1)]
+    bounded = scratch.table(first[0].unionByName(first[1]), "bounded")
+    table = scratch.table(each.join(F.broadcast(bounded), ["y", "place", "text_hash"]), "labelled")
+    if table.count() > bounded.count():  # rows that are repeated whole
+        table = scratch.table(table.dropDuplicates(["y", "place", "text_hash"]), "labelled")
+    table = table.select("y", "h")
     size = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return Model()
