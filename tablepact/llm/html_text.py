@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,13 +35,12 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
 
-_PART = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)",
-    re.I | re.S,
-)
+RAW = frozenset("script style noscript template textarea iframe svg math object canvas select".split())
+_NAME = re.compile(r"[a-z][^\s/>]*", re.I)
+_WORD = re.compile(r"[a-z0-9_]+", re.I)
+_STOP = re.compile(r"[>\"']")
+_OPEN = re.compile(r"<[/!?a-zA-Z]")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NONE = re.compile(r"\s*display\s*:\s*none|.*;\s*display\s*:\s*none|.*visibility\s*:\s*hidden", re.I | re.S)
@@ -99,6 +100,52 @@ def _apart(tag: str, rest: str, inside: bool) -> bool:
     return False
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of ``>`` and of quotes, and for each where a tag that goes on there, outside quotes, ends (-1: nowhere).
+
+    Found from the page's end, so a quote that is never closed costs no more than any other character.
+    """
+    stops = [m.start() for m in _STOP.finditer(page)]
+    ends = [-1] * (len(stops) + 1)
+    near = {'"': len(stops), "'": len(stops)}
+    for k in range(len(stops) - 1, -1, -1):
+        c = page[stops[k]]
+        if c == ">":
+            ends[k] = stops[k] + 1
+        else:
+            if near[c] < len(stops):
+                ends[k] = ends[near[c] + 1]
+            near[c] = k
+    return stops, ends
+
+
+def parts(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """The page's markup: start, end, and of a tag its name (lower case), whether it closes, and its attributes; comments and raw elements have no name."""
+    stops, ends = _tag_ends(page)
+    at = page.find("<")
+    while at >= 0:
+        end, name, closes, rest = -1, None, False, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at + 1) + 1 or len(page)
+        else:
+            closes = page.startswith("/", at + 1)
+            m = _NAME.match(page, at + 1 + closes)
+            if m:
+                end = ends[bisect_left(stops, m.end())]
+                raw = "" if closes else _WORD.match(page, at + 1)[0].lower()
+                if end >= 0 and raw in RAW:
+                    m = _ENDS[raw].search(page, end)
+                    end = m.end() if m else len(page)
+                elif end >= 0:
+                    name, rest = m[0].lower(), page[m.end() : end - 1]
+        if end >= 0:
+            yield at, end, name, closes, rest
+        at = page.find("<", max(end, at + 1))
+
+
 class Box:
     """A container and the lines from ``lo`` to ``hi`` (excluded) in it; the page itself has no parent."""
 
@@ -114,7 +161,8 @@ def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
     box = root = Box("", None, 0)
     stack: list[tuple[str, bool, int, Box]] = []  # tag, set apart, article, container
     held: list[str] = []
-    linked = at = articles = anchors = 0
+    opened: Counter[str] = Counter()  # tags in the stack
+    linked = at = articles = 0
     apart, article = False, 0
 
     def close() -> None:
@@ -126,28 +174,27 @@ def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
             held, linked = [], 0
 
     def cut(depth: int) -> None:
-        nonlocal apart, article, anchors, box
-        anchors -= sum(x[0] == "a" for x in stack[depth:])
+        nonlocal apart, article, box
+        for x in stack[depth:]:
+            opened[x[0]] -= 1
         del stack[depth:]
         apart, article, within = stack[-1][1:] if stack else (False, 0, root)
         while box is not within:
             box.hi, box = len(out), box.parent
 
-    for m in _PART.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-            if anchors:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, closes, rest in parts(page):
+        if start > at:
+            held.append(page[at:start])
+            if opened["a"]:
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         inline = tag in INLINE
         if not inline:
             close()
-        if m["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
+        if closes:
+            for depth in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     if inline and stack[depth][1] and held:
                         close()
@@ -156,12 +203,11 @@ def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
                 if stack[depth][0] in HOLDS and tag not in HOLDS:
                     break
             continue
-        rest = m["rest"]
         if tag in VOID or rest.endswith("/") and inline:
             continue
         if not inline:
             ends = ("p", *CLOSES.get(tag, ()))
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ends) else ():
                 if stack[depth][0] in ends:
                     cut(depth)
                     if "p" not in ends or tag not in CLOSES:
@@ -180,11 +226,12 @@ def lines(page: str) -> list[tuple[str, int, int, bool, Box]]:
         if tag in BOXES:
             box = Box(tag, box, len(out))
         stack.append((tag, apart, article, box))
-        anchors += tag == "a"
+        opened[tag] += 1
     if at < len(page):
         rest = page[at:]
         # A tag cut off by the end of the page isn't text.
-        held.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", rest))
+        cut_off = _OPEN.search(rest, rest.rfind(">") + 1)
+        held.append(rest[: cut_off.start()] if cut_off else rest)
     close()
     cut(0)
     root.hi = len(out)

@@ -352,3 +352,21 @@ def test_lists_are_read_across_batches(rows, cuts):
         lists[r[:2]].append(r)
     want = [(k, c, 7 + c, pos, v[0][3], 7 + v[0][3], v[0][2]) for v in lists.values() if len(v) > 1 or v[0][1] >= 0 for k, _, pos, c in v]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("part", ['<script "', '<a "', "<a '\"", "<b>", "<h1>", "<a <a ", "<", "<p>", "<!-- ", "&"], ids=range(10))
+def test_long_markup_takes_linear_time(part):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html_text.main_text(part * (n // len(part)) + ">" + "</i>" * 1000)
+        return time.process_time() - start
+
+    took(10_000)
+    assert took(400_000) < 2
+
+
+def test_quotes_in_tags():
+    for page, want in (("<p title='a>b'>x", "x"), ('<p title="it\'s > that">x', "x"), ("<p title='a>x", "<p title='a>x"), ("a < b > c", "a < b > c"), ("<p>x</p><!x", "x"), ("<script>'</script><p>y", "y")):
+        assert html_text.main_text(page) == want, page
