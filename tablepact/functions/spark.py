@@ -51,6 +51,22 @@ def literal(value: Any) -> Typed:
     raise CompileError(f"no literal of type {type(value).__name__}")
 
 
+#: Beyond it only -1, 0 and 1 have a power in a long, which a double gives as well.
+MOST_POWER = 64
+
+
+def _whole_power(x: Column, power: int) -> Column:
+    """An exact integer power by repeated squaring; null where a long can't hold it."""
+    out, square = F.when(x.isNotNull(), F.lit(1).cast("bigint")), x
+    while power:
+        if power & 1:
+            out = F.try_multiply(out, square)
+        power >>= 1
+        if power:
+            square = F.try_multiply(square, square)
+    return out
+
+
 class Compiler:
     """Compiles nodes over columns of known kinds; ``frame`` is where InColumn finds its values."""
 
@@ -151,6 +167,8 @@ class Compiler:
             e = self(power)
             if e.kind not in ("int", "float", "null", "any"):
                 raise CompileError(f"pow with an exponent of {e.kind}")
+            if a.kind == "int" and isinstance(power, int) and 0 <= power <= MOST_POWER:
+                return Typed(_whole_power(c.cast("bigint"), power), "int")
             out = F.pow(c.cast("double"), e.column.cast("double"))
             if a.kind == "int" and isinstance(power, int) and power >= 0:
                 return Typed(out.try_cast("bigint"), "int")

@@ -128,3 +128,35 @@ class DocumentSchema(Schema):
     @model_validator
     def language():
         return (col("lang").is_in(["en", "de", "fr"]), "a known language")
+
+
+class AccountSchema(Schema):
+    c_custkey: int
+    c_nationkey: int = Field(le=20)
+    c_acctbal: float = Field(ge=0)
+    c_mktsegment: str = "NONE"
+
+    @model_validator
+    def builders():
+        return {"spark": (col("c_acctbal") >= 100, "too little to build"), "python": lambda row: (row.c_mktsegment != "BUILDING" or row.c_acctbal >= 100, "too little to build")}
+
+
+class OddSchema(Schema):
+    o_orderkey: int
+    o_totalprice: float = Field(gt=50000)
+    o_orderpriority: str = Field(pattern="(?=1)")
+
+    @model_validator
+    def mixed():
+        return (col("o_orderkey") > "x", "a number above a text")
+
+    @model_validator
+    def absent():
+        return (col("nowhere") > 1, "a column that isn't there")
+
+
+class NationKeySchema(Schema):
+    n_nationkey: int = Field(primary_key=True, autoincrement=True)
+    n_name: str = Field(max_length=25, index=True)
+    population: int = 0
+    note: str | None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -190,12 +191,208 @@ def stream_filter(spark, d):
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     name = f"stream_filter_{uuid.uuid4().hex[:12]}"
     writer = filter_stream(stream, EventSchema).writeStream.format("memory").queryName(name).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    run = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer).start()
-    run.awaitTermination()
+    writer.option("checkpointLocation", f"{shared_folder(spark)}/{name}").start().awaitTermination()
     return spark.table(name)
 
 
+# -- rows, rules and messages -----------------------------------------------------------------
+
+
+def messages(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    return spark.createDataFrame(rows, fields)
+
+
+def raised(work: Callable[[], object]) -> str:
+    """What kind of error it raises, and the first line of it."""
+    try:
+        work()
+    except Exception as e:
+        return f"{type(e).__name__}: {str(e).splitlines()[0]}"
+    return "none"
+
+
+@query("SELECT c_custkey, c_acctbal < 0 AS in_debt, c_mktsegment = 'BUILDING' AND c_acctbal < 100 AS refused, c_nationkey > 20 AS far, CAST((c_acctbal < 0)::INT + (c_nationkey > 20)::INT + (c_acctbal >= 0 AND c_nationkey <= 20 AND c_mktsegment = 'BUILDING' AND c_acctbal < 100)::INT AS INT) AS n_errors FROM customer")
+def model_rows(spark, d):
+    """The row model over a table: fields, then a rule that is a Python function (which only sees rows whose fields are valid)."""
+    from ..operators import check_rows
+
+    out = check_rows(table(spark, d, "customer"), C.AccountSchema)
+    said = lambda text: F.exists("errors", lambda e: F.contains(e, F.lit(text)))
+    refused = F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False)) & (F.col("c_acctbal") < 100)
+    return out.select("c_custkey", said("c_acctbal:").alias("in_debt"), F.when(F.col("c_acctbal").between(0, 99.999999) & (F.col("c_nationkey") <= 20), said("too little to build")).otherwise(refused).alias("refused"), said("c_nationkey:").alias("far"), F.size("errors").alias("n_errors"))
+
+
+@query("SELECT * FROM (VALUES ('AccountModel', 'c_custkey', true), ('AccountModel', 'c_nationkey', true), ('AccountModel', 'c_acctbal', true), ('AccountModel', 'c_mktsegment', false)) t(model, field, required)")
+def model_fields(spark, d):
+    model = C.AccountSchema.to_pydantic()
+    return messages(spark, [(model.__name__, n, f.is_required()) for n, f in model.model_fields.items()], "model string, field string, required boolean")
+
+
+@query("SELECT * FROM (VALUES ('strict', 'ValueError'), ('lenient', 'ValueError')) t(mode, error)")
+def missing_columns(spark, d):
+    v, df = C.OrdersSchema.to_spark_validator(), table(spark, d, "orders").drop("o_totalprice")
+    return messages(spark, [(m, raised(lambda: v.validate(df, strict=s)).split(":")[0]) for m, s in (("strict", True), ("lenient", False))], "mode string, error string")  # noqa: B023
+
+
+@query("SELECT 'Column ''tax'' has ' || count(*) || ' null values but is not nullable' AS error FROM lineitem WHERE l_tax = 0")
+def strict_null_error(spark, d):
+    df = table(spark, d, "lineitem").withColumn("tax", F.nullif("l_tax", F.lit(0.0)))
+    return messages(spark, [(raised(lambda: C.NotNullSchema.to_spark_validator().validate(df)).partition(": ")[2],)], "error string")
+
+
+@query("SELECT o_orderkey, o_totalprice, 3 AS skipped FROM orders WHERE o_totalprice > 50000")
+def skipped_rules(spark, d):
+    """Rules that can't be evaluated (a text against a number, a column that isn't there, a pattern with look-ahead) are left out with a warning."""
+    v = C.OddSchema.to_spark_validator()
+    out = v.validate(table(spark, d, "orders"), strict=False)
+    return out.select("o_orderkey", "o_totalprice", F.lit(len(v.report.skipped)).alias("skipped"))
+
+
+@query("SELECT 1 AS place, 'l_quantity must be <= 40' AS what, count(*)::INT AS n FROM lineitem WHERE l_quantity > 40")
+def logged_violations(spark, d):
+    """What ``show_violations`` logs for the first rule that is broken."""
+    import logging
+
+    found: list[str] = []
+
+    class Keep(logging.Handler):
+        def emit(self, record):
+            found.append(record.getMessage())
+
+    log, keep = logging.getLogger("tablepact.operators.validator"), Keep()
+    log.addHandler(keep)
+    try:
+        C.ChainSchema.to_spark_validator().validate(table(spark, d, "lineitem"), strict=False, show_violations=True)
+    finally:
+        log.removeHandler(keep)
+    rule, _, rest = found[0].partition(": ")
+    return messages(spark, [(1, rule, int(rest.split()[0]))], "place int, what string, n int")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 40")
+def violation_rows(spark, d):
+    """The rows that break the first rule, from the report."""
+    v = C.ChainSchema.to_spark_validator()
+    v.validate(table(spark, d, "lineitem"), strict=False)
+    return v.report.violations[0].rows.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'bigint', false), ('o_totalprice', 'double', false), ('o_orderdate', 'timestamp_ntz', false), ('o_orderpriority', 'string', false)) t(name, type, nullable)")
+def schema_property(spark, d):
+    return messages(spark, [(f.name, f.dataType.simpleString(), f.nullable) for f in C.OrdersSchema.to_spark_validator().schema], "name string, type string, nullable boolean")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-02-01' AND CAST(o_orderdate AS DATE) < DATE '1998-06-30' AND month(o_orderdate) <> 12 AND o_orderkey % 2 = 0")
+def validate_dates_and_own_rules(spark, d):
+    """Bounds of a date, a rule added to a field, and a boolean column as a rule."""
+    from .. import Field, Schema, model_validator
+
+    class DaySchema(Schema):
+        o_orderkey: int
+        day: date = Field(ge=date(1997, 2, 1), lt=date(1998, 6, 30))
+        even: bool
+
+        @model_validator
+        def only_even():
+            return (col("even"), "even orders")
+
+    DaySchema.fields()["day"].add_validator(lambda c: c.dt.month() != 12, "not in December")
+    df = table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("even", F.col("o_orderkey") % 2 == 0)
+    return valid(DaySchema, df).drop("even")
+
+
+@query("SELECT * FROM (VALUES ('bound of another type', 'TypeError'), ('closed by another word', 'ValueError'), ('field without a name', 'RuntimeError'), ('rule of another type', 'ValueError'), ('dict without a table form', 'ValueError')) t(what, error)")
+def static_checks(spark, d):
+    """What is refused before any table is read."""
+    from .. import Field, Schema, model_validator
+    from ..fields import Integer
+
+    def rule(result):
+        return lambda: type("BadSchema", (Schema,), {"__annotations__": {"a": int}, "rule": model_validator(lambda: result)}).to_spark_validator()
+
+    cases = [
+        ("bound of another type", lambda: type("BadSchema", (Schema,), {"__annotations__": {"a": int}, "a": Field(min_length=1)})),
+        ("closed by another word", lambda: col("a").is_between(1, 2, closed="inside")),
+        ("field without a name", lambda: Integer(ge=1).get_constraints()),
+        ("rule of another type", rule("text")),
+        ("dict without a table form", rule({"python": len})),
+    ]
+    return messages(spark, [(what, raised(work).split(":")[0]) for what, work in cases], "what string, error string")
+
+
+@query("SELECT * FROM (VALUES ('tests', 'n_nationkey', NULL, true), ('tests', 'n_name', NULL, NULL), ('tests', 'population', '0', NULL), ('tests', 'note', NULL, NULL)) t(\"table\", name, \"default\", autoincrement)")
+def ddl_full(spark, d):
+    """Table name, defaults and keys that count up."""
+    from ..fields import MISSING
+
+    made = C.NationKeySchema.to_table("tests")
+    return messages(spark, [(made.name, c.name, None if c.default is MISSING or c.default is None else str(c.default), c.autoincrement) for c in made.columns.values()], "table string, name string, default string, autoincrement boolean")
+
+
+@query("SELECT * FROM (VALUES ('nationkeys', '`nationkeys`', 'n_nationkey'), ('lands', '`geo`.`lands`', 'n_nationkey')) t(name, full_name, keys)")
+def ddl_names(spark, d):
+    both = C.NationKeySchema.to_table(), C.NationKeySchema.to_table("lands", "geo")
+    return messages(spark, [(t.name, t.full_name, ",".join(t.primary_key)) for t in both], "name string, full_name string, keys string")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share; one of this machine only where there is no other."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
+    return root.rstrip("/")
+
+
+PARTS_SQL = "SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_brand FROM part WHERE p_size > 3 AND p_size < 49 AND p_size % 5 = 0"
+
+
+@query(PARTS_SQL)
+def csv_roundtrip(spark, d):
+    """Written as text, read as text, and cast by validation."""
+    from ..sources import read_csv
+
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex[:12]}"
+    table(spark, d, "part").write.csv(path, header=True)
+    return valid(C.PartSchema, read_csv(spark, path, C.PartSchema))
+
+
+@query(PARTS_SQL)
+def json_roundtrip(spark, d):
+    from ..sources import read_json
+
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex[:12]}"
+    table(spark, d, "part").write.json(path)
+    return valid(C.PartSchema, read_json(spark, path, C.PartSchema))
+
+
+@query(PARTS_SQL)
+def parquet_roundtrip(spark, d):
+    from ..sources import read_parquet, write_parquet
+
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex[:12]}"
+    write_parquet(valid(C.PartSchema, read_parquet(spark, f"{d}/part.parquet", schema=C.PartSchema)), path)
+    return read_parquet(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(0 AS BIGINT) AS population, CAST(NULL AS VARCHAR) AS note FROM nation")
+def table_roundtrip(spark, d):
+    """A table made from a contract's definition, filled with valid rows, and read."""
+    from ..sources import write_table
+
+    name = f"nations_{uuid.uuid4().hex[:12]}"
+    C.NationSchema.to_table(name).create(spark)
+    write_table(valid(C.NationSchema, table(spark, d, "nation")), name)
+    return spark.table(name)
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey * c_nationkey AS p13 FROM customer")
+def math_pow_exact(spark, d):
+    """Powers beyond what a double holds exactly."""
+    return project(table(spark, d, "customer"), ["c_custkey"], p13=col("c_nationkey").pow(13))
+
+
 # -- expressions ------------------------------------------------------------------------------
 
 LINE = ["l_orderkey", "l_linenumber"]

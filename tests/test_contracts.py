@@ -17,97 +17,99 @@ from tablepact.sources import read_csv, read_json, read_parquet, write_parquet,
 from tablepact.streaming import filter_stream, validate_batches
 
 
-class PersonSchema(Schema):
-    id: int = Field(primary_key=True)
-    name: str
-    age: int | None = None
+class BuoySchema(Schema):
+    buoy: int = Field(primary_key=True)
+    bay: str
+    depth: int | None = None
 
 
-class ConstrainedSchema(Schema):
-    id: int = Field(primary_key=True, ge=1)
-    name: str = Field(min_length=1, max_length=100)
-    age: int = Field(ge=0, le=120)
-    price: float = Field(gt=0.0)
-    email: str = Field(pattern=r"^[^@]+@[^@]+\.[^@]+$")
-    is_active: bool = True
-    created_at: datetime
+class ReadingSchema(Schema):
+    serial: int = Field(primary_key=True, ge=100)
+    station: str = Field(min_length=2, max_length=12)
+    humidity: int = Field(ge=5, le=95)
+    wind: float = Field(gt=0.5)
+    code: str = Field(pattern=r"^[A-Z]{2}-\d{3}$")
+    checked: bool = True
+    taken: datetime
 
 
-class DefaultsSchema(Schema):
-    id: int = Field(primary_key=True)
-    name: str = Field(default="unknown")
-    count: int = 0
-    is_active: bool = True
-    created_at: datetime = datetime(2024, 1, 1)
+class LampSchema(Schema):
+    lamp: int = Field(primary_key=True)
+    colour: str = Field(default="amber")
+    lumens: int = 40
+    lit: bool = False
+    fitted: datetime = datetime(2019, 7, 4, 6)
 
 
-class DatesSchema(Schema):
-    start_date: date
-    end_date: date
+class LeaseSchema(Schema):
+    opens: date
+    closes: date
 
     @model_validator
     def ordered():
-        return (col("end_date") > col("start_date"), "end after start")
+        return (col("opens") < col("closes"), "opens before it closes")
 
 
-NOW = datetime(2024, 1, 1)
+DAWN = datetime(2021, 3, 9, 5, 40)
 
 
 @pytest.fixture
-def invalid(spark):
-    rows = [(1, "Alice", 25, 10.5, "a@b.co", NOW), (2, "", 150, 20.0, "b@b.co", NOW), (-1, "Charlie", 35, 5.0, "c@b.co", NOW)]
-    return spark.createDataFrame(rows, "id long, name string, age long, price double, email string, created_at timestamp_ntz")
+def readings(spark):
+    """Row 7 has too small a serial and is too dry; 205 has too short a station and too wet air; 310 is fine."""
+    rows = [(310, "Kap Nord", 61, 3.5, "KN-310", DAWN), (7, "Delta", 2, 1.0, "DE-007", DAWN), (205, "x", 99, 9.0, "XX-205", DAWN)]
+    return spark.createDataFrame(rows, "serial long, station string, humidity long, wind double, code string, taken timestamp_ntz")
 
 
 def test_strict_passes_and_orders_columns(spark):
-    df = spark.createDataFrame([("Alice", 25, 1, "x"), ("Bob", 30, 2, "y")], "name string, age int, id int, extra string")
-    out = PersonSchema.to_spark_validator().validate(df)
-    assert out.columns == ["id", "name", "age"] and out.count() == 2
-    assert out.schema["id"].dataType.simpleString() == "bigint"
+    df = spark.createDataFrame([("north", 12, 4, 0.5), ("south", 40, 9, 0.1)], "bay string, depth int, buoy int, drift double")
+    out = BuoySchema.to_spark_validator().validate(df)
+    assert out.columns == ["buoy", "bay", "depth"] and out.count() == 2
+    assert out.schema["buoy"].dataType.simpleString() == "bigint"
 
 
 def test_missing_columns(spark):
     for strict in (True, False):
         with pytest.raises(ValueError, match="Missing required columns"):
-            PersonSchema.to_spark_validator().validate(spark.createDataFrame([(1,)], "id long"), strict=strict)
+            BuoySchema.to_spark_validator().validate(spark.createDataFrame([(4,)], "buoy long"), strict=strict)
 
 
-def test_strict_and_non_strict(invalid):
-    v = ConstrainedSchema.to_spark_validator()
-    with pytest.raises(ValueError, match="Constraint violation: id must be >= 1\nFound 1 violations"):
-        v.validate(invalid, show_violations=True)
-    out = v.validate(invalid, strict=False)
-    assert [r.id for r in out.collect()] == [1] and out.first().is_active is True
-    # Row -1 is gone when names are judged, and row 2 when ages are.
-    assert [(x.constraint, x.count) for x in v.report.violations] == [("id must be >= 1", 1), ("name must have at least 1 characters", 1)]
-    assert [r.id for r in v.report.violations[1].sample()] == [2] and (v.report.rows_in, v.report.rows_out) == (3, 1)
+def test_strict_and_non_strict(readings):
+    v = ReadingSchema.to_spark_validator()
+    with pytest.raises(ValueError, match="Constraint violation: serial must be >= 100\nFound 1 violations"):
+        v.validate(readings, show_violations=True)
+    out = v.validate(readings, strict=False)
+    assert [r.serial for r in out.collect()] == [310] and out.first().checked is True
+    # Row 7 is gone when humidity is judged, and row 205 by its station.
+    assert [(x.constraint, x.count) for x in v.report.violations] == [("serial must be >= 100", 1), ("station must have at least 2 characters", 1)]
+    assert [r.serial for r in v.report.violations[1].sample()] == [205] and (v.report.rows_in, v.report.rows_out) == (3, 1)
 
 
 def test_nulls(spark):
-    df = spark.createDataFrame([(1, "A", 25), (2, None, None)], "id long, name string, age long")
-    v = PersonSchema.to_spark_validator()
+    df = spark.createDataFrame([(4, "north", 12), (9, None, None)], "buoy long, bay string, depth long")
+    v = BuoySchema.to_spark_validator()
     with pytest.raises(ValueError, match="has 1 null values"):
         v.validate(df)
-    assert [r.id for r in v.validate(df, strict=False).collect()] == [1] and v.report.null_counts == {"name": 1}
+    assert [r.buoy for r in v.validate(df, strict=False).collect()] == [4] and v.report.null_counts == {"bay": 1}
 
 
 def test_defaults(spark):
-    v = DefaultsSchema.to_spark_validator()
-    assert v.validate(spark.createDataFrame([(1,), (2,)], "id long")).first().asDict() == {"id": 1, "name": "unknown", "count": 0, "is_active": True, "created_at": NOW}
-    df = spark.createDataFrame([(1, "Alice", 5), (2, None, None)], "id long, name string, count long")
-    assert v.validate(df, fill_nulls=True).collect()[1][1:3] == ("unknown", 0) and v.report.filled == {"name": 1, "count": 1}
+    v = LampSchema.to_spark_validator()
+    assert v.validate(spark.createDataFrame([(70,), (71,)], "lamp long")).first().asDict() == {"lamp": 70, "colour": "amber", "lumens": 40, "lit": False, "fitted": datetime(2019, 7, 4, 6)}
+    df = spark.createDataFrame([(70, "red", 900), (71, None, None)], "lamp long, colour string, lumens long")
+    assert v.validate(df, fill_nulls=True).collect()[1][1:3] == ("amber", 40) and v.report.filled == {"colour": 1, "lumens": 1}
 
 
 def test_unknown_rows_go_only_if_some_row_is_false(spark):
-    class AgeSchema(Schema):
-        id: int
-        age: int | None = Field(le=10)
+    class TideSchema(Schema):
+        gauge: int
+        metres: int | None = Field(le=6)
 
-    v = AgeSchema.to_spark_validator()
-    df = spark.createDataFrame([(1, 5), (2, None)], "id long, age long")
+    v = TideSchema.to_spark_validator()
+    df = spark.createDataFrame([(1, 5), (2, None)], "gauge long, metres long")
+    high = df.union(spark.createDataFrame([(3, 9)], df.schema))
     assert v.validate(df, strict=False).count() == 2
-    assert [r.id for r in v.validate(df.union(spark.createDataFrame([(3, 11)], df.schema)), strict=False).collect()] == [1]
-    assert sorted(r.id for r in v.row_filter(df.union(spark.createDataFrame([(3, 11)], df.schema))).collect()) == [1, 2]
+    assert [r.gauge for r in v.validate(high, strict=False).collect()] == [1]
+    assert sorted(r.gauge for r in v.row_filter(high).collect()) == [1, 2]
 
 
 def test_unevaluable_rules_are_skipped(spark, caplog):
@@ -176,29 +178,29 @@ def test_rule_formats(spark):
 
 
 def test_schema_rules():
-    assert list(ConstrainedSchema.fields()) == ["id", "name", "age", "price", "email", "is_active", "created_at"]
-    assert PersonSchema.fields()["age"].nullable and not PersonSchema.fields()["age"].required and PersonSchema.fields()["id"].required
+    assert list(ReadingSchema.fields()) == ["serial", "station", "humidity", "wind", "code", "checked", "taken"]
+    assert BuoySchema.fields()["depth"].nullable and not BuoySchema.fields()["depth"].required and BuoySchema.fields()["buoy"].required
     for annotations, values in (({"a": int | str}, {}), ({"a": list}, {}), ({"a": int}, {"a": Integer()}), ({"a": int}, {"a": Field(min_length=1)}), ({"a": bool}, {"a": Field(ge=1)})):
         with pytest.raises(TypeError):
             type("BadSchema", (Schema,), {"__annotations__": annotations, **values})
 
-    class ChildSchema(PersonSchema):
-        email: Optional[str]  # noqa: UP045
+    class MooredSchema(BuoySchema):
+        chain: Optional[str]  # noqa: UP045
 
-    assert list(ChildSchema.fields()) == ["id", "name", "age", "email"] and ChildSchema.fields()["email"].nullable and ChildSchema.fields()["email"].required
+    assert list(MooredSchema.fields()) == ["buoy", "bay", "depth", "chain"] and MooredSchema.fields()["chain"].nullable and MooredSchema.fields()["chain"].required
     with pytest.raises(RuntimeError, match="field name"):
         Integer(ge=1).get_constraints()
     with warnings.catch_warnings(record=True) as found:
         warnings.simplefilter("always")
-        PersonSchema.fields()["age"]._warned = False
-        PersonSchema.to_spark_validator()
-        PersonSchema.to_spark_validator()
+        BuoySchema.fields()["depth"]._warned = False
+        BuoySchema.to_spark_validator()
+        BuoySchema.to_spark_validator()
     assert len([w for w in found if "nullable and has a default" in str(w.message)]) == 1
 
 
 def test_dates_and_own_rules(spark):
-    df = spark.createDataFrame([(date(2024, 1, 1), date(2024, 2, 1)), (date(2024, 3, 1), date(2024, 2, 1))], "start_date date, end_date date")
-    assert DatesSchema.to_spark_validator().validate(df, strict=False).count() == 1
+    df = spark.createDataFrame([(date(2018, 5, 1), date(2020, 5, 1)), (date(2020, 6, 2), date(2020, 5, 1))], "opens date, closes date")
+    assert LeaseSchema.to_spark_validator().validate(df, strict=False).count() == 1
 
     class BoundSchema(Schema):
         day: date = Field(ge=date(2024, 1, 5))
@@ -209,24 +211,47 @@ def test_dates_and_own_rules(spark):
 
 
 def test_row_model():
-    Model = ConstrainedSchema.to_pydantic()
-    good = dict(id="1", name="A", age=3, price=1.0, email="a@b.co", created_at=NOW)
-    assert Model(**good).id == 1 and Model(**good).is_active is True
-    for change in (dict(id=0), dict(name=""), dict(age=121), dict(price=0), dict(email="x"), dict(created_at="no")):
+    Model = ReadingSchema.to_pydantic()
+    good = dict(serial="144", station="Delta", humidity=40, wind=2.5, code="DE-144", taken=DAWN)
+    assert Model(**good).serial == 144 and Model(**good).checked is True
+    for change in (dict(serial=99), dict(station="D"), dict(humidity=96), dict(wind=0.5), dict(code="de-144"), dict(taken="soon")):
         with pytest.raises(ValidationError):
             Model(**good | change)
 
 
+def test_row_model_over_a_table(spark):
+    """Rows are judged one by one, whatever the others are; the schema has to be one that executors can import."""
+    from tablepact.operators import check_rows
+    from tablepact.plans.contracts import AccountSchema
+
+    rows = [(1, 3, 50.0, "AUTO", "x"), (2, 21, -4.0, "BUILDING", "x"), (3, 3, 50.0, "BUILDING", "x"), (4, None, 1.0, "AUTO", "x")]
+    df = spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string, spare string")
+    got = {r.c_custkey: [e.split(":")[0] for e in r.errors] for r in check_rows(df, AccountSchema).collect()}
+    assert got == {1: [], 2: ["c_nationkey", "c_acctbal"], 3: ["row"], 4: ["c_nationkey"]}
+    assert check_rows(df.limit(0), AccountSchema).columns == [*df.columns, "errors"] and check_rows(df.limit(0), AccountSchema).count() == 0
+    with pytest.raises(ValueError, match="errors"):
+        check_rows(df.withColumn("errors", F.lit(1)), AccountSchema)
+
+
 def test_table_definition(spark):
-    made = ConstrainedSchema.to_table()
-    assert made.name == "constraineds" and made.primary_key == ["id"] and made.columns["name"].type == "VARCHAR(100)"
-    assert PersonSchema.to_table("people", "db").full_name == "`db`.`people`" and PersonSchema.to_table().columns["age"].nullable
-    DefaultsSchema.to_table("defaults_made").create(spark)
-    spark.sql("INSERT INTO defaults_made (id) VALUES (7)")
-    row = spark.table("defaults_made").first()
-    assert (row.id, row.name, row["count"], row.is_active, row.created_at) == (7, "unknown", 0, True, NOW)
-    write_table(DefaultsSchema.to_spark_validator().validate(spark.createDataFrame([(8,)], "id long")), "defaults_made")
-    assert spark.table("defaults_made").count() == 2
+    made = ReadingSchema.to_table()
+    assert made.name == "readings" and made.primary_key == ["serial"] and made.columns["station"].type == "VARCHAR(12)"
+    assert BuoySchema.to_table("moorings", "db").full_name == "`db`.`moorings`" and BuoySchema.to_table().columns["depth"].nullable
+    LampSchema.to_table("lamps_made").create(spark)
+    spark.sql("INSERT INTO lamps_made (lamp) VALUES (7)")
+    row = spark.table("lamps_made").first()
+    assert (row.lamp, row.colour, row.lumens, row.lit, row.fitted) == (7, "amber", 40, False, datetime(2019, 7, 4, 6))
+    write_table(LampSchema.to_spark_validator().validate(spark.createDataFrame([(8,)], "lamp long")), "lamps_made")
+    assert spark.table("lamps_made").count() == 2
+
+
+def test_integer_powers_are_exact(spark):
+    from tablepact.functions.spark import to_column
+
+    df = spark.createDataFrame([(3,), (-3,), (2,), (0,), (None,), (10,)], "x long")
+    for power in (0, 1, 2, 39, 62, 63):
+        got = [r[0] for r in df.select(to_column(col("x").pow(power), {"x": "int"}, df)).collect()]
+        assert got == [None if x is None or abs(x**power) > 2**63 - 1 else x**power for x in (3, -3, 2, 0, None, 10)], power
 
 
 def test_files(spark, tmp_path):
@@ -244,22 +269,22 @@ def test_files(spark, tmp_path):
 
 
 def test_quarantine_and_keys(spark):
-    df = spark.createDataFrame([(1, "A", 1), (1, None, 2)], "id long, name string, age long")
-    v = PersonSchema.to_spark_validator()
-    assert sorted(r.violations for r in v.flag(df).collect()) == [[], ["name is null"]]
-    assert [tuple(r) for r in v.duplicate_keys(df).collect()] == [("id", "1", 2)]
+    df = spark.createDataFrame([(4, "north", 12), (4, None, 30)], "buoy long, bay string, depth long")
+    v = BuoySchema.to_spark_validator()
+    assert sorted(r.violations for r in v.flag(df).collect()) == [[], ["bay is null"]]
+    assert [tuple(r) for r in v.duplicate_keys(df).collect()] == [("buoy", "4", 2)]
 
 
 def test_streams(spark, tmp_path):
-    spark.createDataFrame([(1, "A", 1), (2, None, 2)], "id long, name string, age long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, name string, age long").parquet(str(tmp_path / "in"))
-    run = filter_stream(stream, PersonSchema).writeStream.format("memory").queryName("people_kept").trigger(availableNow=True).start()
+    spark.createDataFrame([(4, "north", 12), (9, None, 30)], "buoy long, bay string, depth long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("buoy long, bay string, depth long").parquet(str(tmp_path / "in"))
+    run = filter_stream(stream, BuoySchema).writeStream.format("memory").queryName("buoys_kept").trigger(availableNow=True).start()
     run.awaitTermination()
-    assert [r.id for r in spark.table("people_kept").collect()] == [1]
+    assert [r.buoy for r in spark.table("buoys_kept").collect()] == [4]
     got, reports = [], []
-    run = validate_batches(stream, PersonSchema, lambda df, i: got.extend(df.collect()), lambda r, i: reports.append(r.null_counts)).trigger(availableNow=True).start()
+    run = validate_batches(stream, BuoySchema, lambda df, i: got.extend(df.collect()), lambda r, i: reports.append(r.null_counts)).trigger(availableNow=True).start()
     run.awaitTermination()
-    assert [r.id for r in got] == [1] and reports == [{"name": 1}]
+    assert [r.buoy for r in got] == [4] and reports == [{"bay": 1}]
 
 
 def plainly(rows, columns, rules):
