@@ -10,7 +10,7 @@ document's matches in order of their starts. Base phrases are rules as well; the
 are reported whatever suppresses them.
 
 Rules are built from ``FAMILIES`` (one hand-written name pattern a line) in ``FORMS``
-(how a notice, a tag, a version and a mention are put). All steps are DataFrame operations.
+(how a notice, a tag, a version and a mention are put), and from ``NOTICES`` (hand-written passages of license texts, addresses and references). All steps are DataFrame operations.
 
 Cases. A null or empty text has no words, no labels and score 0. Repeated rows each give a row with the same
 result. A document of many thousand matches is handled row by row, not as an array. Other columns are ignored.
@@ -134,12 +134,66 @@ proprietary | reserved | all rights reserved | -
 proprietary | confidential | proprietary and confidential | -
 """
 
+#: label | gates | pattern: headers, grants and disclaimers of license texts, addresses of licenses, references to a license file.
+NOTICES = """
+gpl | redistribute | you can redistribute it and or modify it under the terms of (?:version [23] of )?the gnu general public licen[cs]e
+lgpl | redistribute | you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e
+agpl | redistribute | you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e
+gpl | gnu | you should have received a copy of the gnu general public licen[cs]e along with this
+lgpl | gnu | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this
+agpl | gnu | you should have received a copy of the gnu affero general public licen[cs]e along with this
+gfdl | gnu | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
+apache | compliance | you may not use this file except in compliance with the licen[cs]e
+apache | specific | see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e
+mpl | mozilla | this source code form is subject to the terms of the mozilla public licen[cs]e
+mpl | incompatible | this source code form is incompatible with secondary licen[cs]es
+epl | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+mit | permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | warranty | the software is provided as is without warranty of any kind express or implied
+isc | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+bsd | contributors | this software is provided by the copyright holders and contributors as is
+bsd-3 | endorse | neither the name of (?:the )?(?:copyright holder|author|company|organi[sz]ation) nor the names of its contributors may be used to endorse or promote products
+bsd-4 | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2 | redistributions | redistributions in binary form must reproduce the above copyright notice
+zlib | misrepresented | the origin of this software must not be misrepresented
+boost | obtaining | permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation
+wtfpl | do | do what the fuck you want to public licen[cs]e
+ofl | font | this font software is licensed under the sil open font licen[cs]e
+cc | creative | this work is licen[cs]ed under a creative commons
+cc0 | waived | has waived all copyright and related or neighbou?ring rights
+artistic | artistic | under the same terms as perl itself or the artistic licen[cs]e
+apache | apache | apache org licenses(?: license 2 0)?
+gpl | gnu | gnu org licenses gpl(?: [23] 0)?
+lgpl | gnu | gnu org licenses lgpl(?: [23] [01])?
+agpl | gnu | gnu org licenses agpl(?: 3 0)?
+gfdl | gnu | gnu org licenses fdl(?: 1 [123])?
+mit | opensource | opensource org licen[cs]es? mit
+bsd | opensource | opensource org licen[cs]es? bsd(?: [234] clause)?
+mpl | mozilla | mozilla org mpl(?: 2 0)?
+epl | eclipse | eclipse org legal epl(?: v[12]0| 2 0)?
+cc-by | creativecommons | creativecommons org licenses by [1234] 0
+cc-by-sa | creativecommons | creativecommons org licenses by sa [1234] 0
+cc-by-nc | creativecommons | creativecommons org licenses by nc [1234] 0
+cc-by-nc-sa | creativecommons | creativecommons org licenses by nc sa [1234] 0
+cc-by-nc-nd | creativecommons | creativecommons org licenses by nc nd [1234] 0
+cc-by-nd | creativecommons | creativecommons org licenses by nd [1234] 0
+cc0 | creativecommons | creativecommons org publicdomain zero 1 0
+unlicense | unlicense | unlicense org
+boost | boost | boost org license 1 0
+proprietary | unauthori[sz]ed | unauthori[sz]ed copying of this file
+proprietary | trade | contains trade secrets and confidential information
+reference | see | see (?:the )?(?:file )?licen[cs]e(?: txt| md| file)? (?:for|in the project root for) (?:more |full |licen[cs]e )?(?:details|information|terms)
+reference | found | licen[cs]e that can be found in the licen[cs]e file
+reference | copying | see (?:the )?(?:file )?copying(?: txt)? for (?:more )?(?:details|information)
+"""
+
 #: How a name is put: priority, confidence, and what stands around it.
 FORMS = (
     (1, 0.95, r"(?:licen[cs]ed|released|distributed|available|provided|published|redistributed|covered|governed|shared|offered) (?:under|by|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{name}(?: (?:version |v)?[0-9]+(?: [0-9]+)*)?"),
     (2, 0.8, r"{name} (?:version |v)?[0-9]+(?: [0-9]+)*"),
     (3, 0.6, r"{name}"),
 )
+NOTICE = (1, 0.97)
 TAG = (1, 0.98, r"spdx licen[cs]e identifier {tag}")
 
 
@@ -167,6 +221,10 @@ def default_rules() -> list[Rule]:
         out += [Rule(label, gate, form.format(name=f"(?:{name})"), p, c, also=tuple(also)) for p, c, form in FORMS]
         if tag != "-":
             out.append(Rule(label, "spdx", TAG[2].format(tag=f"(?:{tag})"), *TAG[:2]))
+    for line in NOTICES.strip().splitlines():
+        label, gates, pattern = (x.strip() for x in line.split(" | "))
+        gate, *also = gates.replace("unauthori[sz]ed", "unauthorized unauthorised").split()
+        out.append(Rule(label, gate, pattern, *NOTICE, also=tuple(also)))
     return out + [Rule(label, phrase.split()[0], phrase, 4, 0.5, True) for phrase, label in BASE.items()]
 
 

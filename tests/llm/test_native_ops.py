@@ -181,7 +181,7 @@ def test_rules_are_gated(spark):
     rules = license_scan.default_rules()
     assert len(rules) > 300 and Counter(r.base for r in rules)[True] == len(license_scan.BASE)
     for r in rules:
-        assert r.gate in r.pattern.replace("\\b", " "), r
+        assert r.gate in r.pattern.replace("\\b", " ").replace("[sz]", "z"), r
 
 
 def said(pattern):
@@ -214,7 +214,9 @@ def said(pattern):
 
 def test_every_alternative_has_a_gate():
     rules = license_scan.default_rules()
-    bare = {r.pattern: r.gates for r in rules if r.priority >= 3}
+    notices = {r.pattern: r.gates for r in rules if (r.priority, r.confidence) == license_scan.NOTICE}
+    assert len(notices) > 40
+    bare = {r.pattern: r.gates for r in rules if r.priority >= 3} | notices
     for pattern, gates in bare.items():
         for text in said(pattern):
             assert not set(gates).isdisjoint(text.split()), (pattern, text)
@@ -222,6 +224,17 @@ def test_every_alternative_has_a_gate():
         assert r.pattern in bare or r.gates == ("spdx",) and r.pattern.startswith("spdx ") or any(p in r.pattern and r.gates == g for p, g in bare.items()), r
 
 
+def test_notices_and_addresses(spark):
+    texts = {
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "gpl",
+        "https://www.apache.org/licenses/LICENSE-2.0": "apache", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "Unauthorised copying of this file is prohibited": "proprietary",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl", "See the LICENSE file for details.": "reference", "we see the details": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_names_with_other_gates(spark):
     texts = {"Licensed under the LGPLv3": "lgpl", "AGPLv3": "agpl", "a Zero-Clause BSD license": "0bsd", "Q Public License": "qpl", "GPLv1 only": "gpl", "gpl, GPLv2 and GPLv3": "gpl"}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
