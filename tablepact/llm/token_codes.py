@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +50,10 @@ def pack(ids: np.ndarray, doc_ends: np.ndarray) -> bytes:
     while True:
         more = rest >> WIDTH > 0
         bits = np.packbits(more, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])
-        levels.append((rest.astype(np.uint8), bits, ones[:-1:RANK_BITS].astype(np.uint32) if len(rest) else np.zeros(0, np.uint32)))
+        whole = np.zeros(-(-len(bits) // (RANK_BITS // 8)) * (RANK_BITS // 8), np.uint8)
+        whole[: len(bits)] = bits
+        ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.int64)
+        levels.append((rest.astype(np.uint8), bits, (np.cumsum(ones) - ones).astype(np.uint32)))
         if not more.any():
             break
         rest = rest[more] >> WIDTH
@@ -152,6 +153,8 @@ class ByteBpe:
         self.bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.pieces = regex.compile(self.PIECE)
         self.model = self.whole.model
+        self.space = self.bytes_as[0x20]
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size(True))]
         self.small: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -161,30 +164,41 @@ class ByteBpe:
             return False
         return not self._rare.search(text) and not any(t in text for t in self.added)
 
-    def _cut(self, word: str) -> list[str]:
-        """The pieces of a word with its space, or of one after a line end."""
-        if word.isalpha():
-            return [" " + word]
-        if word[-1:] in self._stops and word[:-1].isalpha():
-            return [" " + word[:-1], word[-1]]
-        return self.pieces.findall(word if word[:1] == "\n" else " " + word)
-
     def _piece(self, piece: str) -> bytes:
         ids = self.small.get(piece)
         if ids is None:
             said = piece if piece.isascii() else piece.encode().decode("latin-1")
-            ids = array("I", [t.id for t in self.model.tokenize(said.translate(self.bytes_as))]).tobytes()
-            if len(self.small) >= CACHE_PIECES:
-                self.small.clear()  # most are seen once; what recurs is soon back, and in ``words``
-            self.small[piece] = ids
+            ids = self._keep(piece, said.translate(self.bytes_as))
+        return ids
+
+    def _keep(self, piece: str, said: str) -> bytes:
+        """The ids of a piece, from the model's own characters for its bytes."""
+        four = self.four
+        ids = b"".join([four[t.id] for t in self.model.tokenize(said)])
+        if len(self.small) >= CACHE_PIECES:
+            self.small.clear()  # most are seen once; what recurs is soon back, and in ``words``
+        self.small[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         """The ids of a word that isn't kept yet. It is kept if all of its pieces were seen before, so words that are seen once aren't."""
-        pieces = self._cut(word)
-        known = all(p in self.small for p in pieces)
-        ids = b"".join(map(self._piece, pieces))
-        if known and len(self.words) < CACHE_WORDS:
+        small = self.small
+        if word.isalpha():
+            ids = small.get(" " + word)
+            if ids is None:
+                return self._keep(" " + word, self.space + word) if word.isascii() else self._piece(" " + word)
+        elif word[-1:] in self._stops and word[:-1].isalpha():
+            ids, stop = small.get(" " + word[:-1]), small.get(word[-1])
+            if ids is None or stop is None:
+                return self._piece(" " + word[:-1]) + self._piece(word[-1])
+            ids += stop
+        else:
+            pieces = self.pieces.findall(word if word[:1] == "\n" else " " + word)
+            found = [small.get(p) for p in pieces]
+            ids = b"".join([self._piece(p) if x is None else x for p, x in zip(pieces, found)])
+            if None in found:
+                return ids
+        if len(self.words) < CACHE_WORDS:
             self.words[word] = ids
         return ids
 
