@@ -38,6 +38,8 @@ from .textkit import SPACED, Run, freed, mix, ragged, runs, sequence_hashes, win
 
 GRAM = 5
 BITMAP_LOG2 = 28
+#: Bits of a part of the bitmap that is made in one place.
+BLOCK_LOG2 = 14
 #: An automaton looks for the first word of a phrase among those of all of its phrases, so shards are small.
 SHARD_SEGMENTS = 4_000
 MOST_SHARDS = 1_000_000
@@ -85,22 +87,24 @@ def _surveyed(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
-    """Bits of the keys' leading bits, 16 for each key or somewhat more."""
-    log2 = max(20, int(16 * n).bit_length())
+    """Bits of the keys' leading bits: 128 for each key or somewhat more where they fit, so that few others are taken for one of them; 16 at least."""
+    log2 = max(20, min(BITMAP_LOG2, int(128 * n).bit_length()), int(16 * n).bit_length())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
             cell = (batch.column(1).to_numpy().view(np.uint64) >> _U(64 - log2)).astype(np.int64)
-            for b in np.unique(cell >> 18):
-                bits = blocks.setdefault(int(b), np.zeros(1 << 18, bool))
-                bits[cell[cell >> 18 == b] & ((1 << 18) - 1)] = True
+            cell = np.sort(cell)
+            at = np.flatnonzero(np.append(True, cell[1:] >> BLOCK_LOG2 != cell[:-1] >> BLOCK_LOG2)) if len(cell) else []
+            for lo, hi in zip(at, [*at[1:], len(cell)]):
+                bits = blocks.setdefault(int(cell[lo] >> BLOCK_LOG2), np.zeros(1 << BLOCK_LOG2, bool))
+                bits[cell[lo:hi] & ((1 << BLOCK_LOG2) - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in blocks.values()], pa.binary())], ["block", "bits"])
 
-    block = F.shiftrightunsigned("key", 64 - log2 + 18).cast("int")
+    block = F.shiftrightunsigned("key", 64 - log2 + BLOCK_LOG2).cast("int")
     out = np.zeros(1 << (log2 - 3), np.uint8)
     for r in keys.select(block.alias("block"), "key").repartition("block").mapInArrow(packed, "block int, bits binary").collect():
-        out[r["block"] << 15 : (r["block"] + 1) << 15] = np.frombuffer(r["bits"], np.uint8)
+        out[r["block"] << BLOCK_LOG2 - 3 : (r["block"] + 1) << BLOCK_LOG2 - 3] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
