@@ -36,7 +36,7 @@ MAGIC = b"DAC1"
 WIDTH = 8
 RANK_BITS = 512
 SHARD_TOKENS = 1 << 19
-CACHE_WORDS, CACHE_PIECES = 150_000, 120_000
+CACHE_WORDS, CACHE_PIECES = 80_000, 60_000
 
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -144,10 +144,10 @@ class ByteBpe:
 
         self.whole = Tokenizer.from_file(path)
         self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        self.cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
+        # What the library says of its parts; the file, with its vocabulary, isn't parsed a second time.
+        pre = json.loads(self.whole.pre_tokenizer.__getstate__()) if self.whole.pre_tokenizer else {}
+        model = self.whole.model
+        self.cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not self.whole.normalizer and type(model).__name__ == "BPE" and not model.dropout
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
