@@ -23,9 +23,9 @@ from tablepact.llm.store import Scratch, collecting
 #: Rows of two numbers and two flags are broadcast up to this number (some 64 MB), and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
-#: Rows of whole texts that go to a Python worker at once. A batch is in memory on both sides, in buffers that the executor keeps, so a session that
-#: has Spark's default of 10,000 gets this; any other number stays as it is set.
-ARROW_ROWS = "1000"
+#: What goes to a Python worker at once, in rows and in bytes (a longer row goes by itself). A batch is in memory on both sides, in buffers that the executor
+#: keeps, so a session that has Spark's defaults, the keys' second values, gets these; any other value stays as it is set.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("4194304b", "67108864b")}
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _open: list[Scratch] = []
@@ -37,8 +37,9 @@ def _stage(work: Stage, keep: bool = False) -> Stage:
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _open:
             _open.pop().remove()
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        for key, (value, default) in ARROW.items():
+            if spark.conf.get(key, None) == default:
+                spark.conf.set(key, value)
         with collecting() as made:
             out = work(spark, docs, sf_dir)
         if not keep:
