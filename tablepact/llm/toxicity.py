@@ -228,6 +228,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """``docs`` with score (0 to 1) and predicted (0 or 1) for every whole text; columns of these names are replaced."""
     docs = docs.drop("score", "predicted")
     names, terms = docs.columns, _identity()[0]
+    # A text goes to the workers once; only one of another type goes as a string beside it.
+    sent = docs if isinstance(docs.select(F.col(text)).schema[0].dataType, T.StringType) and names.count(text) == 1 else docs.withColumn("__text", F.col(text).cast("string"))
+    place, width = sent.columns.index(text if sent is docs else "__text"), len(names)
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         mask = Model(features).mask()
         for batch in batches:
             z = np.full(batch.num_rows, bias)
-            for run in runs(batch.column(batch.num_columns - 1), ALNUM, True) if len(features) else ():
+            for run in runs(batch.column(place), ALNUM, True) if len(features) else ():
                 h, row = features_of(run, terms)
                 hit = mask[h >> np.uint64(42)]
                 h, row = h[hit], row[hit]
@@ -244,10 +247,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 pairs = np.unique(row[ok].astype(np.int64) * len(features) + at[ok])
                 z[run.lo : run.hi] += np.bincount(pairs // len(features), weights=weights[pairs % len(features)], minlength=run.hi - run.lo)
             p = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(freed(scores), schema)
+    return sent.mapInArrow(freed(scores), schema)
 
 
 def held_out(doc_id, folds: int = 5):
