@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+#: Powers of a hash's base are kept between runs up to this number.
+POWERS = 1 << 21
 _U = np.uint64
 
 #: Words of characters other than ASCII white space.
@@ -57,7 +59,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         inv = _U(pow(int(base), -1, 1 << 64))
         up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)])) for b in (base, inv))
         have = (up, down)
-        if m <= 2 * CHUNK:
+        if m <= POWERS:
             _pows[int(base)] = have
     return have[0][:n], have[1][:n]
 
@@ -153,15 +155,33 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
 
 
-def freed(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``of``, after which a worker gives the memory of its arrays back: workers outlive their tasks beside the executor's heap."""
+#: What a worker keeps from task to task, by the work that it is for.
+kept: dict[str, object] = {}
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: the allocator keeps it
+        pass
+
+
+def _begin(work: str | None) -> None:
+    """Lets go of what was kept for other work."""
+    others = [k for k in kept if k != work]
+    for k in others:
+        del kept[k]
+    if others:
+        _trim()
+
+
+def freed(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], work: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of``, after which a worker gives the memory of its arrays back: workers outlive their tasks beside the executor's heap. What is ``kept`` for ``work`` stays, the rest goes first."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(work)
         yield from of(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc: the allocator keeps it
-            pass
+        _trim()
 
     return wrapped

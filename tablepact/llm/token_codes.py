@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .store import Scratch
-from .textkit import freed
+from .textkit import freed, kept
 
 MAGIC = b"DAC1"
 WIDTH = 8
@@ -214,13 +214,11 @@ class ByteBpe:
         return b"".join(found)[len(self._piece("\n")) :]
 
 
-_coders: dict[str, ByteBpe] = {}
-
-
 def coder(path: str) -> ByteBpe:
-    if path not in _coders:
-        _coders[path] = ByteBpe(path)
-    return _coders[path]
+    coders = kept.setdefault("token_codes", {})
+    if path not in coders:
+        coders[path] = ByteBpe(path)
+    return coders[path]
 
 
 # -- writing and reading ----------------------------------------------------------------------
@@ -255,7 +253,7 @@ def encode_documents(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    ordered.select("doc_id", "text").mapInArrow(freed(shards), SHARD_SCHEMA).write.option("compression", "none").parquet(out)
+    ordered.select("doc_id", "text").mapInArrow(freed(shards, "token_codes"), SHARD_SCHEMA).write.option("compression", "none").parquet(out)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -370,3 +370,13 @@ def test_long_markup_takes_linear_time(part):
 def test_quotes_in_tags():
     for page, want in (("<p title='a>b'>x", "x"), ('<p title="it\'s > that">x', "x"), ("<p title='a>x", "<p title='a>x"), ("a < b > c", "a < b > c"), ("<p>x</p><!x", "x"), ("<script>'</script><p>y", "y")):
         assert html_text.main_text(page) == want, page
+
+
+def test_workers_let_go_of_what_other_work_kept():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    textkit.kept.clear()
+    code = token_codes.coder(path)
+    list(textkit.freed(iter, "token_codes")([]))
+    assert token_codes.coder(path) is code
+    list(textkit.freed(iter)([]))
+    assert not textkit.kept
