@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Powers of a hash's base are kept between runs up to this number.
 POWERS = 1 << 21
 _U = np.uint64
