@@ -219,6 +219,19 @@ def test_registry():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "decontamination", "mixing", "token_codes"]
 
 
+def test_a_stage_begins_with_collected_heaps(spark, tmp_path):
+    """Heaps that the stage before has filled are collected before a stage's own work."""
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before, seen = collections(), []
+    corpus_pipeline._stage(lambda spark, docs, sf_dir: seen.append(collections()) or docs)(spark, spark.range(3), str(tmp_path))
+    assert seen[0] > before
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
