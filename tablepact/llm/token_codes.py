@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,7 +133,6 @@ class ByteBpe:
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    _stops = frozenset(".,;:!?")
     #: White space other than spaces and line ends.
     _rare = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -150,13 +150,19 @@ class ByteBpe:
         self.cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not self.whole.normalizer and type(model).__name__ == "BPE" and not model.dropout
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        #: The model's own character for each byte.
+        self.bytes_as = "".join(bytes_as[b] for b in range(256))
         self.pieces = regex.compile(self.PIECE)
         self.model = self.whole.model
-        self.space = self.bytes_as[0x20]
         self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size(True))]
+        #: Pieces seen of late, and those of the turn before.
         self.small: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        if self.cached:
+            self.line = self._ids("\n")
+            self.stops = {stop: self._ids(stop) for stop in ".,;:!?"}
 
     def _plain(self, text: str) -> bool:
         """Whether words are set apart by single spaces and line ends alone, and none is an added token."""
@@ -164,38 +170,40 @@ class ByteBpe:
             return False
         return not self._rare.search(text) and not any(t in text for t in self.added)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.small.get(piece)
-        if ids is None:
-            said = piece if piece.isascii() else piece.encode().decode("latin-1")
-            ids = self._keep(piece, said.translate(self.bytes_as))
-        return ids
-
-    def _keep(self, piece: str, said: str) -> bytes:
-        """The ids of a piece, from the model's own characters for its bytes."""
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a piece by the model, to which each byte is a character of its own."""
         four = self.four
-        ids = b"".join([four[t.id] for t in self.model.tokenize(said)])
+        return b"".join([four[t.id] for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.bytes_as)[0])])
+
+    def _keep(self, piece: str) -> bytes:
+        """The ids of a piece that isn't kept yet."""
         if len(self.small) >= CACHE_PIECES:
-            self.small.clear()  # most are seen once; what recurs is soon back, and in ``words``
-        self.small[piece] = ids
+            self.older, self.small = self.small, {}  # most are seen once; what recurs is soon back, and in ``words``
+        ids = self.small[piece] = self._ids(piece)
         return ids
 
     def _word(self, word: str) -> bytes:
         """The ids of a word that isn't kept yet. It is kept if all of its pieces were seen before, so words that are seen once aren't."""
-        small = self.small
-        if word.isalpha():
-            ids = small.get(" " + word)
-            if ids is None:
-                return self._keep(" " + word, self.space + word) if word.isascii() else self._piece(" " + word)
-        elif word[-1:] in self._stops and word[:-1].isalpha():
-            ids, stop = small.get(" " + word[:-1]), small.get(word[-1])
-            if ids is None or stop is None:
-                return self._piece(" " + word[:-1]) + self._piece(word[-1])
-            ids += stop
+        small, older = self.small.get, self.older.get
+        # Most are letters, after a space or a line end (a piece by itself), before one stop or none.
+        lead, body = ("", word[1:]) if word[0] == "\n" else (" ", word)
+        stop = self.stops.get(body[-1:])
+        if stop is not None:
+            body = body[:-1]
+        if body.isalpha():
+            piece = lead + body
+            found = small(piece) or older(piece)
+            ids = self._keep(piece) if found is None else found
+            if stop is not None:
+                ids += stop
+            if not lead:
+                ids = self.line + ids
+            if found is None:
+                return ids
         else:
-            pieces = self.pieces.findall(word if word[:1] == "\n" else " " + word)
-            found = [small.get(p) for p in pieces]
-            ids = b"".join([self._piece(p) if x is None else x for p, x in zip(pieces, found)])
+            pieces = self.pieces.findall(" " + word if lead else word)
+            found = [small(p) or older(p) for p in pieces]
+            ids = b"".join([self._keep(p) if x is None else x for p, x in zip(pieces, found)])
             if None in found:
                 return ids
         if len(self.words) < CACHE_WORDS:
@@ -211,7 +219,7 @@ class ByteBpe:
         found = list(map(self.words.get, words))
         if None in found:
             found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)[len(self._piece("\n")) :]
+        return b"".join(found)[len(self.line) :]
 
 
 def coder(path: str) -> ByteBpe:
@@ -249,7 +257,7 @@ def encode_documents(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
                     ids, parts, ends, seq, before, held = [], [], [], seq + 1, before + held, 0
         if ids:
             yield row()
-        code.small.clear()  # words that recur stay for the worker's next task
+        code.small, code.older = {}, {}  # words that recur stay for the worker's next task
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")

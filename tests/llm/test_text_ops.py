@@ -90,6 +90,24 @@ def test_codes_round_trip(ids):
         shard.token(len(ids))
 
 
+def test_pieces_are_coded_once(monkeypatch):
+    """A piece is still known after the cache's turn, and words of letters at a line's start need no pattern."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(token_codes, "CACHE_PIECES", 4)
+    code, calls = token_codes.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), []
+    model = code.model
+    code.model = SimpleNamespace(tokenize=lambda said: calls.append(said) or model.tokenize(said))
+    for text in ("ab cde fghé ij kl.", "cde, fghé ij;\nab\nij! kl", "a1b it's \u00e9t\u00e9.\n\"cde\" x\n.y"):
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == code.whole.encode(text, add_special_tokens=False).ids
+        if "'" not in text:
+            assert len(calls) <= 7, calls  # the five words, and two of them without a space
+    code.pieces = None
+    text = "Word\nOther, word.\nMore"
+    assert np.frombuffer(code.encode(text), "<u4").tolist() == code.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_of_documents(spark, docs):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
