@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .store import Scratch
-from .textkit import freed, kept
+from .textkit import buffers, freed, kept, spans
 
 MAGIC = b"DAC1"
 WIDTH = 8
 RANK_BITS = 512
 SHARD_TOKENS = 1 << 19
 CACHE_WORDS, CACHE_PIECES = 80_000, 60_000
+#: Bytes of texts whose words are looked up at once (a longer text makes a run of its own).
+RUN = 1 << 20
 
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -123,11 +125,21 @@ class DacShard:
 # -- the tokenizer ----------------------------------------------------------------------------
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first is 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+
+
 class ByteBpe:
     """Ids of the tokenizers library's byte-level BPE, with a cache of words.
 
     Such a tokenizer cuts a text by a pattern and codes each piece by itself. The
-    library's model codes every piece that the cache does not hold. Texts
+    texts of a run are cut into words where the pattern is sure to cut, each word that is in
+    them is looked up once, and the library's model codes every piece that the cache does not hold. Texts
     with white space other than single spaces and line ends, or with an added token such as
     ``<|endoftext|>``, go to the library whole.
     """
@@ -161,8 +173,7 @@ class ByteBpe:
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         if self.cached:
-            self.line = self._ids("\n")
-            self.stops = {stop: self._ids(stop) for stop in ".,;:!?"}
+            self.stops = {stop: self._ids(stop) for stop in "\n.,;:!?"}
 
     def _plain(self, text: str) -> bool:
         """Whether words are set apart by single spaces and line ends alone, and none is an added token."""
@@ -182,44 +193,69 @@ class ByteBpe:
         ids = self.small[piece] = self._ids(piece)
         return ids
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a word that isn't kept yet. It is kept if all of its pieces were seen before, so words that are seen once aren't."""
+    def _word(self, word: str, recurs: bool) -> bytes:
+        """The ids of a word that isn't kept yet. It is kept if it recurs in its run or all of its pieces were seen before, so words that are seen once aren't."""
+        if word in self.stops:
+            return self.stops[word]
         small, older = self.small.get, self.older.get
-        # Most are letters, after a space or a line end (a piece by itself), before one stop or none.
-        lead, body = ("", word[1:]) if word[0] == "\n" else (" ", word)
-        stop = self.stops.get(body[-1:])
-        if stop is not None:
-            body = body[:-1]
-        if body.isalpha():
-            piece = lead + body
-            found = small(piece) or older(piece)
-            ids = self._keep(piece) if found is None else found
-            if stop is not None:
-                ids += stop
-            if not lead:
-                ids = self.line + ids
-            if found is None:
-                return ids
+        # Most are letters, after a space or none.
+        if (word[1:] if word[0] == " " else word).isalpha():
+            ids = small(word) or older(word)
+            if ids is None:
+                ids = self._keep(word)
+            else:
+                recurs = True
         else:
-            pieces = self.pieces.findall(" " + word if lead else word)
+            pieces = self.pieces.findall(word)
             found = [small(p) or older(p) for p in pieces]
             ids = b"".join([self._keep(p) if x is None else x for p, x in zip(pieces, found)])
-            if None in found:
-                return ids
-        if len(self.words) < CACHE_WORDS:
+            recurs = recurs or None not in found
+        if recurs and len(self.words) < CACHE_WORDS:
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not self.cached or not self._plain(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # The text is led by a line end, whose id is then left out; each word but those after a line end has its space.
-        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+    def _run(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each of some plain texts."""
+        data, at = buffers(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        # A word begins with each text, at a space, at and after a line end, and where punctuation follows a letter or digit of the first 256 characters.
+        line = data == 0x0A
+        first = (data == 0x20) | line
+        first[1:] |= line[:-1]
+        known = _ALNUM[data]
+        known[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        first[1:] |= known[:-1] & _PUNCT[data[1:]]
+        first[at[:-1]] = True
+        start = np.flatnonzero(first)
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)).dictionary_encode()
+        which, words = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, words))
         if None in found:
-            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)[len(self.line) :]
+            recurs = (np.bincount(which) > 1).tolist()
+            found = [self._word(w, r) if ids is None else ids for w, r, ids in zip(words, recurs, found)]
+        # Each word's ids are copied from those of the distinct words.
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[which]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(end[-1]) + np.repeat((np.cumsum(size) - size)[which] - (end - n), n)]
+        lo = 0
+        for hi in end[np.searchsorted(start, at[1:]) - 1].tolist():
+            yield ids[lo:hi].tobytes()
+            lo = hi
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers; null is empty."""
+        for lo, hi in spans(buffers(texts)[1], RUN):
+            run = texts.slice(lo, hi - lo)
+            values = run.to_pylist()
+            plain = [self.cached and bool(v) and self._plain(v) for v in values]
+            coded = self._run(run.filter(pa.array(plain))) if any(plain) else iter(())
+            for value, known in zip(values, plain):
+                yield next(coded) if known else np.array(self.whole.encode(value or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one text."""
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def coder(path: str) -> ByteBpe:
@@ -246,11 +282,10 @@ def encode_documents(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "first_token", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                coded = code.encode(value.as_py() or "") + end
+            for key, coded in zip(batch.column(0), code.encode_all(batch.column(1))):
                 ids.append(key.as_py())
-                parts.append(coded)
-                held += len(coded) // 4
+                parts += coded, end
+                held += len(coded) // 4 + 1
                 ends.append(held)
                 if held >= shard_tokens:
                     yield row()

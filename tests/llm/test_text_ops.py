@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -160,6 +161,38 @@ def test_cache_is_emptied_when_full(monkeypatch):
     assert len(code.small) <= 5 and len(code.words) <= 3
 
 
+def test_words_of_a_run_are_coded_once(monkeypatch):
+    """However little is kept, a word that recurs in a run of texts takes one call."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(token_codes, "CACHE_PIECES", 1)
+    monkeypatch.setattr(token_codes, "CACHE_WORDS", 0)
+    code, calls = token_codes.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), []
+    model = code.model
+    code.model = SimpleNamespace(tokenize=lambda said: calls.append(said) or model.tokenize(said))
+    text = "x" + " aa b\u00e9, cc. dd" * 50
+    assert np.frombuffer(code.encode(text), "<u4").tolist() == code.whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 5, len(calls)
+    calls.clear()
+    assert list(code.encode_all(pa.array([text] * 3))) == [code.encode(text)] * 3 and len(calls) == 10
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("aZ9\u00e9\u00d7\u00f7\u00ff\u00c0'\u2019st.,-(_\n   \t\u0301\u4e2d\u00b2"), max_size=25), max_size=8), st.sampled_from([1, 20, 1 << 20]))
+def test_ids_of_a_run_equal_the_librarys(texts, run):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    if not _coded:
+        _coded.append(token_codes.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")))
+    (code,) = _coded
+    want = [np.array(code.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_codes, "RUN", run)
+        for kind in (pa.string(), pa.large_string()):
+            assert list(code.encode_all(pa.array(texts, kind))) == want
+            assert list(code.encode_all(pa.array(["a b", *texts, "c"], kind).slice(1, len(texts)))) == want
+
+
 def test_added_tokens_in_a_text():
     """As the library has them by default: a text's <|endoftext|> is one id."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
