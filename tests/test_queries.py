@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tablepact.plans.queries import ORACLE_SQL, QUERIES
@@ -39,3 +40,20 @@ def test_filters_reach_the_scan(spark, data):
     plan = QUERIES["validate_lineitem_filter"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan.replace(" ", "") or "PushedFilters" in plan
     assert "l_comment" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_stream_filter_leaves_rows_in_files(spark, data):
+    got = QUERIES["stream_filter"](spark, data)
+    assert got.inputFiles() and "MemoryPlan" not in got._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("n", [0, 5000])
+def test_stream_filter_of_a_folder_of_files(spark, data, tmp_path, n):
+    events = spark.read.parquet(f"{data}/events.parquet").limit(n).withColumn("user_id", F.col("user_id") + 95)  # this small, no user_id passes
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/orders.parquet")
+    want = spark.read.parquet(f"{tmp_path}/events.parquet").filter("value > 20 AND user_id >= 100").select("event_id", "user_id", "value")
+    got = QUERIES["stream_filter"](spark, str(tmp_path))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert bool(n) == bool(got.head(1))
